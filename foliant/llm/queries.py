@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import mixing, quality_rules
+from foliant.llm import byte_bpe, language_id, media_columns, mixing, quality_rules
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
+    "op6_media_columns": media_columns.op6_media_columns,
+    "op7_language_id": language_id.op7_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 

@@ -208,3 +208,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "comp")
         if new.where("comp <> old").limit(1).count() == 0:
             return labels
+
+
+def sorted_sets(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (group, hash) once, in order of groups; groups are small whole numbers from 0.
+
+    One sort of a single key (group, then the upper bits of the hash) is several times faster
+    than a sort by two keys; hashes that agree in those bits are put in order afterwards.
+    """
+    if len(h) == 0:
+        return group, h
+    bits = _U(max(1, int(group.max()).bit_length()))
+    by = np.argsort(group.astype(np.uint64) << (_U(64) - bits) | h >> bits)
+    group, h = group[by], h[by]
+    same = (group[1:] == group[:-1]) & (h[1:] >> bits == h[:-1] >> bits)
+    if (same & (h[1:] != h[:-1])).any():
+        by = np.lexsort((h, group))
+        group, h = group[by], h[by]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (group[1:] != group[:-1]) | (h[1:] != h[:-1])
+    return group[keep], h[keep]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, Rolling, as_long, components, documents, materialise, mix, text_batches, word_spans
+from foliant.llm.common import LOWER_AZ, Rolling, as_long, components, documents, materialise, mix, sorted_sets, text_batches, word_spans
 
 COLLECTIONS = 16
 ROWS = 3
@@ -76,15 +76,6 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     return doc_of, hashes
 
 
-def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each (document, hash) once, sorted."""
-    by = np.lexsort((h, doc))
-    doc, h = doc[by], h[by]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[keep], h[keep]
-
-
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>"
 
 
@@ -94,7 +85,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_batches(batches):
             n_docs = len(off) - 1
-            doc, h = distinct(*shingles(data, off, width))
+            doc, h = sorted_sets(*shingles(data, off, width))
             size = np.bincount(doc, minlength=n_docs)
             some = np.flatnonzero(size)
             starts = (np.cumsum(size) - size)[some]
@@ -156,8 +147,8 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_batches(batches, most=1 << 19):
             n = part.num_rows
-            doc_b, h_b = distinct(*shingles(data, off, width))
-            doc_a, h_a = distinct(*shingles(*_flat(part.column("other")), width))
+            doc_b, h_b = sorted_sets(*shingles(data, off, width))
+            doc_a, h_a = sorted_sets(*shingles(*_flat(part.column("other")), width))
             n_a, n_b = np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n)
             doc, h = np.concatenate([doc_a, doc_b]), np.concatenate([h_a, h_b])
             mine = np.concatenate([np.ones(len(doc_a), bool), np.zeros(len(doc_b), bool)])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from foliant.llm import byte_bpe, language_id, media_columns, mixing, quality_rules
+from foliant.llm import byte_bpe, language_id, line_dedup, media_columns, minhash_dedup, mixing, quality_rules
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_media_columns": media_columns.op6_media_columns,
     "op7_language_id": language_id.op7_language_id,
+    "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 

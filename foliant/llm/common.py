@@ -6,6 +6,7 @@ tokenising and hashing are numpy passes over bytes instead of Python loops over
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,6 +187,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``materialise``, as a Parquet table in the shared folder: columns are encoded, so large results take far less room."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,6 +6,7 @@ tokenising and hashing are numpy passes over bytes instead of Python loops over
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -184,15 +185,35 @@ def materialise(df: DataFrame) -> DataFrame:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    _release(spark)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``materialise``, as a Parquet table in the shared folder: columns are encoded, so large results take far less room."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, and the table's path for ``discard``."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _release(df.sparkSession)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets the driver collect plans that are done with, so that Spark deletes their shuffle files now rather than at the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

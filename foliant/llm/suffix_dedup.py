@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Rolling, as_long, documents, mix, stored, text_batches
+from foliant.llm.common import Rolling, as_long, discard, documents, mix, stored, stored_at, text_batches
 
 LENGTH = 200
 GRAM = 32
@@ -301,19 +301,19 @@ def matched_windows(ctx: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, text) -> spans (row, at, n): windows at..at+n-1 of a row whose bytes also start elsewhere."""
-    found = stored(entries(docs, length, gram))
+    found, path = stored_at(entries(docs, length, gram))
     own = found.where("kind = 0")
     shared = own.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("c1"), F.max("content").alias("c2")).where("c > 1")
-    met = own.drop("kind").join(shared.select("anchor", (F.col("c1") != F.col("c2")).alias("differ")), "anchor")
-    met = stored(met)
-    kinds = met.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("row", "at")).alias("rep"))
+    met = stored(own.drop("kind").join(shared.select("anchor", (F.col("c1") != F.col("c2")).alias("differ")), "anchor"))
+    spans = stored(found.where("kind = 1 or many").select("row", "at", "n"))
+    discard(docs.sparkSession, path)  # what is needed of it is in the two tables
+    kinds = stored(met.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("row", "at")).alias("rep")))
     whole = met.join(kinds.where("k > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").where("not many")
     contents = kinds.groupBy("anchor").agg(F.count("*").alias("nd")).where("nd > 1")
     reps = met.where("differ").join(kinds.select("anchor", "content", "rep"), ["anchor", "content"]).where("row = rep.row and at = rep.at")
     reps = reps.join(contents, "anchor").select("row", "anchor", "at", "n", "back", (F.col("nd") > HOT).alias("hot"))
-    windows = matched_windows(contexts(docs, reps, length), length)
-    spans = found.where("kind = 1 or many").select("row", "at", "n").unionByName(whole.select("row", "at", "n"))
-    return spans.unionByName(windows)
+    windows = stored(matched_windows(contexts(docs, reps, length), length))
+    return spans.unionByName(whole.select("row", "at", "n")).unionByName(windows)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -24,7 +24,7 @@ def sentences(text: Column) -> Column:
 
 
 def soft_hyphens_removed(text: Column) -> Column:
-    return F.replace(text, F.lit("­"), F.lit(""))
+    return F.replace(text, F.lit("\u00ad"), F.lit(""))
 
 
 def _nfc(text: pd.Series) -> pd.Series:

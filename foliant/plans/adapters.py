@@ -6,7 +6,7 @@ same name and columns for the other engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,7 +78,8 @@ WORD_SPANS = """
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sheets: a header row, then a row of four cells for each line item."""
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("row"), "l_linestatus", F.col("l_quantity").cast("int").alias("q"), (F.col("l_discount") * 100).cast("int").alias("pct"), F.col("l_shipdate").cast("date").alias("d"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), nth.alias("row"), "l_linestatus", F.col("l_quantity").cast("int").alias("q"), (F.col("l_discount") * 100).cast("int").alias("pct"), F.col("l_shipdate").cast("date").alias("d"))
     names = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
     cell = lambda c, t: F.struct(F.lit(c).alias("col"), t.alias("text"))
     body = items.select("doc_id", "row", F.explode(F.array(cell(0, F.col("l_linestatus")), cell(1, F.when(F.col("q") % 7 != 0, F.col("q").cast("string")).otherwise("")), cell(2, F.concat(F.col("pct").cast("string"), F.lit("%"))), cell(3, F.col("d").cast("string")))).alias("c"))
@@ -87,7 +88,7 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_CELLS = """
-    items AS (SELECT l_orderkey AS doc_id, l_linenumber::INT AS row, l_linestatus, l_quantity::INT AS q, (l_discount * 100)::INT AS pct, l_shipdate::DATE AS d FROM lineitem),
+    items AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate))::INT AS row, l_linestatus, l_quantity::INT AS q, (l_discount * 100)::INT AS pct, l_shipdate::DATE AS d FROM lineitem),
     cells AS (
       SELECT doc_id, 0 AS row, c AS col, t AS text, true AS is_header FROM (SELECT DISTINCT doc_id FROM items), (VALUES (0, 'status'), (1, 'quantity'), (2, 'discount'), (3, 'shipped')) AS h(c, t)
       UNION ALL SELECT doc_id, row, 0, l_linestatus, false FROM items

@@ -11,8 +11,7 @@ compared with one hub (the member that shares most with others), and the compari
 the symmetric difference of the two sets. Two members of a bucket that both link with the
 hub are in one component. For a member u that does not, links to any other member v follow
 from the differences: with sizes known, a link needs so many elements of D(v) in D(u) that
-one must lie in a prefix of D(v), rarest first (elements new to the hub come before those
-it has). So u's difference is joined with such prefixes by (hub, element), and what meets
+one must lie in a prefix of D(v), rarest among the hub's members first. So u's difference is joined with such prefixes by (hub, element), and what meets
 is verified on full sets. Nothing is capped or sampled, and groups of copies need a number
 of comparisons in proportion to their size.
 
@@ -31,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, Rolling, as_long, components, documents, materialise, mix, sorted_sets, text_batches, word_spans
+from foliant.llm.common import LOWER_AZ, Rolling, as_long, bound_batches, components, documents, materialise, mix, sorted_sets, stored, text_batches, word_spans
 
 COLLECTIONS = 16
 ROWS = 3
@@ -83,7 +82,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """Per document: size of its set, a 128-bit signature of the set, and its collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_batches(batches):
+        for part, data, off in text_batches(batches, most=1 << 19):
             n_docs = len(off) - 1
             doc, h = sorted_sets(*shingles(data, off, width))
             size = np.bincount(doc, minlength=n_docs)
@@ -136,8 +135,8 @@ COMPARED = "a long, b long, linked boolean, n_a long, n_b long, diff array<long>
 def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verifies pairs (a, b) on full sets.
 
-    ``diff`` is the symmetric difference, elements that a lacks first; the first ``prefix``
-    of them are those of which a link with another member that a does not link with needs one.
+    ``diff`` is the symmetric difference; in any order of its elements, a link of b with a member
+    that a does not link with needs one of the first ``prefix``.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
@@ -145,28 +144,26 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("other")), "a").select("a", "b", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_batches(batches, most=1 << 19):
+        for part, data, off in text_batches(batches, most=1 << 18):
             n = part.num_rows
             doc_b, h_b = sorted_sets(*shingles(data, off, width))
             doc_a, h_a = sorted_sets(*shingles(*_flat(part.column("other")), width))
             n_a, n_b = np.bincount(doc_a, minlength=n), np.bincount(doc_b, minlength=n)
             doc, h = np.concatenate([doc_a, doc_b]), np.concatenate([h_a, h_b])
-            mine = np.concatenate([np.ones(len(doc_a), bool), np.zeros(len(doc_b), bool)])
             by = np.lexsort((h, doc))
-            doc, h, mine = doc[by], h[by], mine[by]
+            doc, h = doc[by], h[by]
             same = np.zeros(len(h), bool)
             same[1:] = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
             inter = np.bincount(doc[same], minlength=n)
             twice = same.copy()
             twice[:-1] |= same[1:]
-            doc, h, mine = doc[~twice], h[~twice], mine[~twice]
-            by = np.lexsort((mine, doc))
+            doc, h = doc[~twice], h[~twice]
             size = np.bincount(doc, minlength=n)
             linked = den * inter >= num * (n_a + n_b - inter)
             # u, v link when |D(u)|+|D(v)|-2|D(u)&D(v)| <= r (|u|+|v|), r = (den-num)/(den+num); u does not link with a
             need = np.ceil((size * (den + num) + (den - num) * (n_a - n_b)) / (2 * (den + num)) - 1e-9)
             prefix = np.clip(size - np.maximum(need, 1) + 1, 0, size).astype(np.int32)
-            diff = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(as_long(h[by])))
+            diff = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(as_long(h)))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked), pa.array(n_a), pa.array(n_b), diff, pa.array(prefix)], [f.split()[0] for f in COMPARED.split(", ")])
 
     return both.mapInArrow(run, COMPARED)
@@ -174,6 +171,7 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(sketches(docs, width))
     shared = ["n_shingles", "s1", "s2"]
@@ -188,15 +186,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = NUM, den: int =
     hubs = scored.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
     stars = materialise(meets.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     seen = materialise(compare(stars, docs, width, num, den))
-    links = seen.where("linked").select("a", "b")
-    open_ = seen.where("not linked").select(F.col("a"), F.col("b").alias("u"), F.explode("diff").alias("x"))
-    near = seen.where("prefix > 0").select(F.col("a"), F.col("b").alias("v"), F.explode(F.slice("diff", F.lit(1), F.col("prefix"))).alias("x"))
-    more = open_.join(near, ["a", "x"]).where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    checked = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialise(more.join(checked, ["a", "b"], "left_anti"))
-    links = links.unionByName(compare(more, docs, width, num, den).where("linked").select("a", "b"))
-    comps = components(links)
-    out = member.join(comps, member.rep == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    comps = components(seen.where("linked").select("a", "b"))
+    side = lambda x: comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}"))
+    seen = seen.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    seen = materialise(seen.withColumns({x: F.coalesce(x, x[-1]) for x in ("comp_a", "comp_b")}).withColumn("size", F.size("diff")))
+    # elements of the differences, rarest among the hub's members first
+    each = seen.where("size > 0").select("a", "b", F.col("n_b").alias("n"), "size", (F.col("comp_a") != F.col("comp_b")).alias("open"), F.col("comp_b").alias("comp"), "prefix", F.explode("diff").alias("x"))
+    often = each.groupBy("a", "x").agg(F.count("*").alias("often"))
+    each = each.join(often, ["a", "x"]).withColumn("j", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "x")) - 1)
+    each = stored(each.where("often > 1 and (open or j <= prefix)").drop("often"))
+    u = each.where("open").select("a", F.col("b").alias("u"), F.col("n").alias("n_u"), F.col("size").alias("size_u"), F.col("comp").alias("comp_u"), "x")
+    v = each.where("j <= prefix").select("a", F.col("b").alias("v"), F.col("n").alias("n_v"), F.col("size").alias("size_v"), F.col("comp").alias("comp_v"), "j", "x")
+    # a link needs ``need`` common elements, so two of them (or one) are among the first size_v - need + 2 (or 1) of v
+    need = F.ceil(((den + num) * (F.col("size_u") + F.col("size_v")) - (den - num) * (F.col("n_u") + F.col("n_v"))) / (2 * (den + num)))
+    few = F.least(F.greatest(need, F.lit(1)), F.lit(2))
+    can = (need <= F.col("size_u")) & (need <= F.col("size_v")) & (F.col("j") < F.col("size_v") - need + few)
+    met = u.alias("u").join(v.alias("v"), (F.col("u.a") == F.col("v.a")) & (F.col("u.x") == F.col("v.x")) & (F.col("comp_u") != F.col("comp_v")) & can)
+    met = met.groupBy("u.a", "u.u", "v.v", "comp_u", "comp_v", few.alias("few")).agg(F.count("*").alias("met")).where("met >= few")
+    flip = F.col("u") > F.col("v")
+    pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
+    more = materialise(met.select(pick("u", "v").alias("a"), pick("v", "u").alias("b"), pick("comp_u", "comp_v").alias("comp_a"), pick("comp_v", "comp_u").alias("comp_b")).distinct())
+    new = compare(more.select("a", "b"), docs, width, num, den).where("linked").select("a", "b").join(more, ["a", "b"])
+    joined = components(new.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    out = member.join(comps, member.rep == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("c"))
+    out = out.join(joined, out.c == joined.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "c").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

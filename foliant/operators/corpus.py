@@ -21,6 +21,12 @@ def document_text(blocks: DataFrame, joiner: str = "\n\n") -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["text"]), joiner).alias("text"))
 
 
+def last_page(blocks: DataFrame, n: int = -1) -> DataFrame:
+    """Blocks of the page that is ``n`` (below 0) from each document's end."""
+    last = blocks.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    return blocks.join(last, "doc_id").where(F.col("page") == F.col("_last") + 1 + n).drop("_last")
+
+
 class Corpus:
     """``docs``: doc_id, path, format, blocks (array of structs), metadata, warnings, error."""
 
@@ -68,8 +74,7 @@ class Corpus:
         """Blocks of page ``n`` from 0; a negative number counts from a document's last page."""
         if n >= 0:
             return self.blocks().where(F.col("page") == n)
-        last = self.blocks().groupBy("doc_id").agg(F.max("page").alias("_last"))
-        return self.blocks().join(last, "doc_id").where(F.col("page") == F.col("_last") + 1 + n).drop("_last")
+        return last_page(self.blocks(), n)
 
     def text(self, join: str = "\n\n") -> str:
         """All texts in path order, one after another; failures are left out. Reads as it goes, one document at a time."""

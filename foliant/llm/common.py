@@ -7,6 +7,7 @@ tokenising and hashing are numpy passes over bytes instead of Python loops over
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -211,9 +212,16 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def _release(spark: SparkSession) -> None:
-    """Lets the driver collect plans that are done with, so that Spark deletes their shuffle files now rather than at the end."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver collect plans that are done with, so that Spark deletes their shuffle files now rather than at the end.
+
+    Events hold finished plans until they have been handled, so these are waited for; what the
+    first collection finds is only let go by the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -9,10 +9,12 @@ Equal sets are one class, held by its first line. Tokens are ordered by rarity:
 over the whole corpus in a sketch of ``2 ** SKETCH_BITS`` counters, then their hash. Any
 order that all lines share makes the prefix filter exact, so the collisions of the sketch
 cost speed only, and its size does not grow with the data. Tokens counted once cannot
-match and are not sent. Classes that share a prefix token are first compared with the
+match and are not sent; others are sent as 32 bits of their hash, as a collision only adds a
+candidate. Classes that share a prefix token are first compared with the
 earliest class of that token; only classes without a match there are joined with all earlier
-classes of their prefix tokens, under the length and the positional filter, so groups of
-near copies do not form all pairs. Candidates are verified on their whole token sets.
+classes of their prefix tokens, so groups of near copies do not form all pairs. The shorter line of a pair is looked for by its index
+prefix, which is about half of the prefix. Both joins
+apply the length and the positional filter, and a bound from 128 parity bits of each set. Candidates are verified on their whole token sets.
 
 Defined results: null text has 0 lines, stays null, and hashes as the empty string; empty
 lines and lines without words stay; repeated documents lose the lines that the first
@@ -24,16 +26,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, Rolling, as_long, documents, materialise, mix, runs_of, sorted_sets, text_batches, word_spans
+from foliant.llm.common import LOWER_AZ, WS_CHARS, WS_CLASS, Rolling, as_long, bound_batches, discard, documents, mix, runs_of, sorted_sets, stored, stored_at, text_batches, word_spans
 
 MIN_TOKENS = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+#: Counts above this are as good as it.
+MOST_COUNT = (1 << 16) - 1
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 80, 100
 
@@ -74,22 +79,24 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, data, off in text_batches(batches):
             _, h, _, _, _, _ = line_sets(data, off)
-            total += np.bincount(_buckets(h), minlength=len(total))
+            bucket = np.sort(_buckets(h))
+            at, n = runs_of(bucket)
+            total[bucket[at]] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["bucket"].to_numpy().astype(np.int64)] = rows["n"].to_numpy()
     return out
 
 
-LINES = "s1 long, s2 long, n int, d long, l int, tok array<long>, pos array<int>"
+LINES = "s1 long, s2 long, n int, d long, l int, p1 long, p2 long, tok array<int>, pos array<int>"
 
 
 def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
     """A row for each line of at least MIN_TOKENS tokens: set signature, size, place, and its prefix tokens with their positions."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 22) - 1).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, MOST_COUNT).astype(np.uint16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -105,76 +112,99 @@ def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int) -
                 continue
             s1 = np.add.reduceat(mix(h), at)
             s2 = np.bitwise_xor.reduceat(mix(h + _U(0x632BE59BD9B4E019)), at)
+            bit = _U(1) << (h & _U(63))
+            half = (h >> _U(6)) & _U(1) == 0
+            p1 = np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), at)
+            p2 = np.bitwise_xor.reduceat(np.where(half, _U(0), bit), at)
             bucket = _buckets(h)
             rank = counts[bucket].astype(np.uint64)
             # by line, then count, then hash (tokens of a bucket share its upper bits and stand in order of hashes)
-            by = np.argsort(rank << _U(20) | bucket.astype(np.uint64) | row.astype(np.uint64) << _U(42), kind="stable")
+            by = np.argsort(row.astype(np.uint64) << _U(SKETCH_BITS + 16) | rank << _U(SKETCH_BITS) | bucket.astype(np.uint64), kind="stable")
             h, rank = h[by], rank[by]
             pos = np.arange(len(h)) - np.repeat(at, n_of)
             length = n_of - (-(-num * n_of // den)) + 1
             sent = (pos < np.repeat(length, n_of)) & (rank > 1)
             n_sent = np.add.reduceat(sent, at)
             offs = pa.array(np.concatenate([[0], np.cumsum(n_sent)]).astype(np.int32))
-            tok = pa.ListArray.from_arrays(offs, pa.array(as_long(h[sent])))
+            tok = pa.ListArray.from_arrays(offs, pa.array((h[sent] >> _U(32)).astype(np.uint32).view(np.int32)))
             place = pa.ListArray.from_arrays(offs, pa.array(pos[sent].astype(np.int32)))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(s1)), pa.array(as_long(s2)), pa.array(n_of.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(number[keep].astype(np.int32)), tok, place], [f.split()[0] for f in LINES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(s1)), pa.array(as_long(s2)), pa.array(n_of.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(number[keep].astype(np.int32)), pa.array(as_long(p1)), pa.array(as_long(p2)), tok, place], [f.split()[0] for f in LINES.split(", ")])
 
     return docs.mapInArrow(run, LINES)
 
 
-def _possible(nx: Column, ny: Column, i: Column, j: Column, num: int, den: int) -> Column:
-    """Length filter, and positional filter: the tokens before and after a common one bound the overlap."""
-    length = (nx * den >= ny * num) & (ny * den >= nx * num)
-    bound = F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1)
-    return length & (bound * (den + num) >= (nx + ny) * num)
+def _possible(x: dict[str, Column], y: dict[str, Column], num: int, den: int) -> Column:
+    """Filters that no pair of the similarity fails, for two lines with a common prefix token.
+
+    Length; position (the tokens before and after a common one bound the overlap); and parity
+    (a token that only one line has flips one of 128 bits, so the lines differ in as many
+    tokens as bits).
+    """
+    both = x["n"] + y["n"]
+    length = (x["n"] * den >= y["n"] * num) & (y["n"] * den >= x["n"] * num)
+    bound = F.least(x["pos"], y["pos"]) + 1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1)
+    flips = F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"]))
+    return length & (bound * (den + num) >= both * num) & (flips * (den + num) <= both * (den - num))
+
+
+def _tokens(line: Column) -> Column:
+    """The distinct words of a line that has one."""
+    lower = F.translate(F.btrim(line, F.lit(WS_CHARS)), ascii_uppercase, ascii_lowercase)
+    return F.array_distinct(F.split(lower, WS_CLASS))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (xd, xl, yd, yl) whose lines reach the similarity, on their whole token sets."""
-    need = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l"))).distinct()
+    need = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l")))
     wanted = need.groupBy(F.col("d").alias("doc_id")).agg(F.collect_set("l").alias("_want"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in text_batches(batches):
-            _, h, doc, number, size, at = line_sets(data, off)
-            want = part.column("_want")
-            pairs_of = [(i, x) for i, xs in enumerate(want.to_pylist()) for x in xs]
-            key = doc << 32 | number
-            ask = np.sort(np.array([i << 32 | x for i, x in pairs_of], np.int64))
-            keep = np.isin(key, ask)
-            mine = np.repeat(keep, size)
-            offs = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(number[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(h[mine])))], ["d", "l", "t"])
-
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "_want").mapInArrow(run, "d long, l int, t array<long>").dropDuplicates(["d", "l"])
+    texts = docs.join(wanted, "doc_id").withColumn("_lines", F.split("text", "\n"))
+    # of rows with equal doc_ids, the first line by order of bytes stands for a line number
+    texts = texts.select(F.col("doc_id").alias("d"), F.explode(F.transform("_want", lambda i: F.struct(i.alias("l"), F.get("_lines", i).alias("t")))).alias("x")).groupBy("d", "x.l").agg(F.min("x.t").alias("t"))
+    texts = stored(texts)
     x = texts.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("t").alias("tx"))
     y = texts.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("t").alias("ty"))
-    both = pairs.join(y, ["yd", "yl"]).join(x, ["xd", "xl"])
-    return both.where(F.size(F.array_intersect("tx", "ty")) * (den + num) >= (F.size("tx") + F.size("ty")) * num).select("xd", "xl", "yd", "yl")
+    both = pairs.join(y, ["yd", "yl"]).join(x, ["xd", "xl"]).withColumns({"sx": _tokens(F.col("tx")), "sy": _tokens(F.col("ty"))})
+    both = both.select("xd", "xl", "yd", "yl", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("all"))
+    return both.where(F.col("common") * (den + num) >= F.col("all") * num).select("xd", "xl", "yd", "yl")
 
 
 def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(d, l): the lines of at least MIN_TOKENS tokens that no earlier line matches."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     rows = lines_with_prefix(docs, token_counts(docs), num, den)
-    first = rows.groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "l", "tok", "pos")).alias("f"))
-    classes = materialise(first.select("n", "f.d", "f.l", "f.tok", "f.pos"))
-    posts = classes.select("d", "l", "n", F.explode(F.arrays_zip("tok", "pos")).alias("p")).select("d", "l", "n", "p.tok", F.col("p.pos").alias("pos"))
-    hubs = posts.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("d", "l", "n", "pos")).alias("hub")).where("c > 1").select("tok", "hub")
-    meets = materialise(posts.join(hubs.hint("shuffle_hash"), "tok"))
-    later = (F.col("hub.d") < F.col("d")) | ((F.col("hub.d") == F.col("d")) & (F.col("hub.l") < F.col("l")))
-    stars = meets.where(later & _possible(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"), num, den))
-    stars = materialise(stars.select(F.col("hub.d").alias("xd"), F.col("hub.l").alias("xl"), F.col("d").alias("yd"), F.col("l").alias("yl")).distinct())
-    gone = materialise(_verify(stars, docs, num, den).select(F.col("yd").alias("d"), F.col("yl").alias("l")).distinct())
-    y = meets.drop("hub").join(gone, ["d", "l"], "left_anti").select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("n").alias("yn"), "tok", F.col("pos").alias("j"))
-    x = meets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("n").alias("xn"), F.col("tok"), F.col("pos").alias("i"))
-    earlier = (F.col("xd") < F.col("yd")) | ((F.col("xd") == F.col("yd")) & (F.col("xl") < F.col("yl")))
-    pairs = x.join(y, "tok").where(earlier & _possible(F.col("xn"), F.col("yn"), F.col("i"), F.col("j"), num, den)).select("xd", "xl", "yd", "yl").distinct()
-    pairs = materialise(pairs.join(stars, ["xd", "xl", "yd", "yl"], "left_anti"))
+    first = rows.groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "l", "p1", "p2", "tok", "pos")).alias("f"))
+    classes, path = stored_at(first.select("n", *[f"f.{c}" for c in ("d", "l", "p1", "p2", "tok", "pos")]))
+    fields = ["d", "l", "n", "pos", "p1", "p2"]
+
+    def posts(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+        kept = ["n", "d", "l", "p1", "p2", *extra]
+        return df.select(*kept, F.explode(F.arrays_zip("tok", "pos")).alias("p")).select(*kept, "p.tok", F.col("p.pos").alias("pos"))
+
+    # of two lines, the shorter needs a common token in its shorter index prefix
+    index = F.col("pos") <= F.col("n") - F.ceil(2 * num * F.col("n") / (den + num))
+    of = lambda side: {c: F.col(f"{side}.{c}") for c in fields}
+    before = lambda x, y: (F.col(f"{x}.d") < F.col(f"{y}.d")) | ((F.col(f"{x}.d") == F.col(f"{y}.d")) & (F.col(f"{x}.l") < F.col(f"{y}.l")))
+    # the earliest class of each token against all others of the token
+    short = posts(classes).where(index)
+    hubs = short.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct(*fields)).alias("x")).where("c > 1").select("tok", "x")
+    stars = short.alias("y").join(hubs.hint("shuffle_hash"), "tok").where(before("x", "y") & _possible(of("x"), of("y"), num, den))
+    stars = stored(stars.select(F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")).distinct())
+    gone = stored(_verify(stars, docs, num, den).select(F.col("yd").alias("d"), F.col("yl").alias("l"), F.lit(False).alias("open")).distinct())
+    flagged = stored(classes.join(gone, ["d", "l"], "left").withColumn("open", F.coalesce("open", F.lit(True))))
+    discard(docs.sparkSession, path)
+    # classes without a match there against all earlier classes of their tokens: a is the shorter line of a pair, or as long
+    a, b = posts(flagged, ("open",)).where(index).alias("a"), posts(flagged, ("open",)).alias("b")
+    first_a = before("a", "b")
+    other = (F.col("a.d") != F.col("b.d")) | (F.col("a.l") != F.col("b.l"))
+    wanted = F.when(first_a, F.col("b.open")).otherwise(F.col("a.open"))
+    joined = b.join(a.hint("shuffle_hash"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.n") <= F.col("b.n")) & other & wanted & _possible(of("a"), of("b"), num, den))
+    pick = lambda c, yes, no: F.when(first_a, F.col(f"{yes}.{c}")).otherwise(F.col(f"{no}.{c}"))
+    pairs = joined.select(pick("d", "a", "b").alias("xd"), pick("l", "a", "b").alias("xl"), pick("d", "b", "a").alias("yd"), pick("l", "b", "a").alias("yl")).distinct()
+    pairs = stored(pairs.join(stars, ["xd", "xl", "yd", "yl"], "left_anti"))
     more = _verify(pairs, docs, num, den).select(F.col("yd").alias("d"), F.col("yl").alias("l"))
-    return classes.select("d", "l").join(gone.union(more).distinct(), ["d", "l"], "left_anti")
+    return flagged.where("open").select("d", "l").join(more.distinct(), ["d", "l"], "left_anti")
 
 
 def _apply(docs: DataFrame, num: int, den: int) -> DataFrame:

@@ -234,3 +234,20 @@ def emit_json_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("MD").alias("format"))
     lines = emit.json_lines(docs, line_blocks(spark, sf_dir))
     return lines.select("doc_id", "rank", "ord", F.get_json_object("line", "$.record").alias("record"), F.get_json_object("line", "$.type").alias("type"), F.get_json_object("line", "$.blocks").cast("long").alias("blocks"))
+
+
+# ---------------------------------------------------------------- folds without SQL
+
+
+@query("page_order")
+def page_order(spark, sf_dir):
+    from foliant.operators.reading import page_order
+
+    return page_order(word_spans(spark, sf_dir))
+
+
+@query("text_tables")
+def text_tables(spark, sf_dir):
+    from foliant.operators.reading import text_tables
+
+    return text_tables(word_spans(spark, sf_dir))

@@ -266,3 +266,17 @@ def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> Data
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
+
+
+def oracle_sql() -> str:
+    """The definition by a join of all lines that share a word."""
+    return r"""
+    WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    t AS (SELECT *, list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS ws FROM l),
+    k AS (SELECT *, len(ws) AS n, row_number() OVER (ORDER BY doc_id, no) AS id FROM t),
+    u AS (SELECT id, n, unnest(ws) AS w FROM k WHERE n >= 5),
+    p AS (SELECT y.id, y.n AS ny, x.n AS nx, count(*) AS i FROM u x JOIN u y ON x.w = y.w AND x.id < y.id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY x.id, y.id, x.n, y.n),
+    g AS (SELECT DISTINCT id FROM p WHERE 180 * i >= 80 * (nx + ny))
+    SELECT k.doc_id, count(*) AS n_lines, count(g.id) AS n_removed, sha256(coalesce(string_agg(CASE WHEN g.id IS NULL THEN line END, chr(10) ORDER BY no), '')) AS kept_sha256
+    FROM k LEFT JOIN g ON g.id = k.id GROUP BY k.doc_id
+    """

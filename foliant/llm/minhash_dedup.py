@@ -224,3 +224,19 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN)
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2)
+
+
+def oracle_sql() -> str:
+    """The contract by plain set joins and a recursive closure."""
+    return r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+    both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT doc_id AS id, doc_id AS comp FROM documents UNION SELECT both_ways.b, r.comp FROM r JOIN both_ways ON both_ways.a = r.id),
+    c AS (SELECT id, min(comp) AS comp FROM r GROUP BY id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.comp AS component_id, d.doc_id = c.comp AS kept
+    FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """

@@ -20,6 +20,8 @@ QUERIES = {
 #: None where SQL cannot express the operator.
 ORACLES = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op4_line_dedup": line_dedup.oracle_sql(),
     "op5_mixing": mixing.oracle_sql(),
+    "op8_minhash_dedup": minhash_dedup.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
 }

@@ -19,6 +19,7 @@ QUERIES = {
 
 #: None where SQL cannot express the operator.
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.oracle_sql(),
     "op3_license_scan": license_scan.oracle_sql(),
     "op4_line_dedup": line_dedup.oracle_sql(),
     "op5_mixing": mixing.oracle_sql(),

@@ -363,3 +363,18 @@ def suffix_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_report(documents(spark, sf_dir))
+
+
+def oracle_sql() -> str:
+    """The contract by counting all windows, as hex digits of the bytes."""
+    return """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 400) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+    s AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY hash(k), k) AS c FROM w) WHERE c > 1),
+    g AS (SELECT doc_id, i, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS n FROM s)),
+    r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+    p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+    t AS (SELECT p.doc_id, sum(b - a)::BIGINT AS gone, count(*) AS runs, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+    SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+    """

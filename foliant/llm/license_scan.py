@@ -23,9 +23,23 @@ from foliant.llm.known_licenses import EQUIVALENT, KNOWN
 _COPYRIGHT = r"(?m)^[^\n]*(?:copyright \(c\)|copyright ©|copyright [0-9]|\(c\) [0-9]|© [0-9]|all rights reserved)[^\n]*$"
 
 
+#: Each match of the pattern has one of these; texts without any are not searched by it.
+_MARKS = ["copyright", "(c)", "©", "all rights reserved"]
+#: Each known text has one of these, and no equivalent spelling makes one; lines without any cannot be known.
+STEMS = ["licen", "redistribution", "permission", "released"]
+
+
+def _has(text: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; words are between single spaces, none at the ends."""
-    t = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
+    low = F.lower(text)
+    t = F.when(_has(low, _MARKS), F.regexp_replace(low, _COPYRIGHT, " ")).otherwise(low)
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in EQUIVALENT:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -38,7 +52,10 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(digest, license): one row for each known canonical text."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license string, kind string, text string")
+    known = KNOWN if known is None else known
+    if any(not any(x in text.lower() for x in STEMS) for _, _, text in known):
+        raise ValueError("a known text has none of STEMS")
+    rows = spark.createDataFrame(known, "license string, kind string, text string")
     return rows.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -47,7 +64,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # a known table is bounded by the list of known texts, not by the data
     table = F.broadcast(known)
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(_has(F.lower("line"), STEMS)).select("doc_id", digest(F.col("line")).alias("digest"))
     found = lines.join(table, "digest").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     out = whole.join(found, "doc_id", "left")

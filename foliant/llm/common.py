@@ -6,6 +6,7 @@ tokenising and hashing are numpy passes over bytes instead of Python loops over
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import time
 import uuid
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -219,7 +221,8 @@ def _release(spark: SparkSession) -> None:
     """
     for _ in range(2):
         gc.collect()
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        with contextlib.suppress(Py4JJavaError):  # a busy bus only means that files go later
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
 

@@ -12,7 +12,7 @@ cost speed only, and its size does not grow with the data. Tokens counted once c
 match and are not sent; others are sent as 32 bits of their hash, as a collision only adds a
 candidate. Classes that share a prefix token are first compared with the
 earliest class of that token; only classes without a match there are joined with all earlier
-classes of their prefix tokens, so groups of near copies do not form all pairs. The shorter line of a pair is looked for by its index
+classes of their prefix tokens, so groups of near copies do not form all pairs (two such classes, the earliest of either half). The shorter line of a pair is looked for by its index
 prefix, which is about half of the prefix. Both joins
 apply the length and the positional filter, and a bound from 128 parity bits of each set. Candidates are verified on their whole token sets.
 
@@ -186,9 +186,10 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     index = F.col("pos") <= F.col("n") - F.ceil(2 * num * F.col("n") / (den + num))
     of = lambda side: {c: F.col(f"{side}.{c}") for c in fields}
     before = lambda x, y: (F.col(f"{x}.d") < F.col(f"{y}.d")) | ((F.col(f"{x}.d") == F.col(f"{y}.d")) & (F.col(f"{x}.l") < F.col(f"{y}.l")))
-    # the earliest class of each token against all others of the token
+    # the earliest class of each token, in each of two halves of the classes, against all others of the token
     short = posts(classes).where(index)
-    hubs = short.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct(*fields)).alias("x")).where("c > 1").select("tok", "x")
+    half = F.pmod(F.xxhash64("d", "l"), F.lit(2))
+    hubs = short.groupBy("tok", half.alias("half")).agg(F.min(F.struct(*fields)).alias("x")).select("tok", "x")
     stars = short.alias("y").join(hubs.hint("shuffle_hash"), "tok").where(before("x", "y") & _possible(of("x"), of("y"), num, den))
     stars = stored(stars.select(F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")).distinct())
     gone = stored(_verify(stars, docs, num, den).select(F.col("yd").alias("d"), F.col("yl").alias("l"), F.lit(False).alias("open")).distinct())

@@ -2,10 +2,12 @@
 
 A line is the set of its distinct words (A-Z lower-cased). Lines are in order of (doc_id,
 line number); a line goes when an earlier line of any document, removed or not, has a
-Jaccard similarity of 0.8 or more with it. Lines with fewer than ``MIN_TOKENS`` distinct
-words are left alone.
+Jaccard similarity of 0.8 or more with it. ``min_tokens`` is the least number of distinct words of
+a line that is looked at: 1, every line with a word, unless the caller asks for more. The query
+``op4_line_dedup`` asks for ``MIN_TOKENS``, which its SQL states, and leaves shorter lines alone.
 
-Equal sets are one class, held by its first line. Tokens are ordered by rarity: their count
+Equal sets are one class, held by its first line; sets so small that only an equal one reaches
+the similarity (one to three words at 0.8) are settled by that and send no tokens. Tokens are ordered by rarity: their count
 over the whole corpus in a sketch of ``2 ** SKETCH_BITS`` counters, then their hash. Any
 order that all lines share makes the prefix filter exact, so the collisions of the sketch
 cost speed only, and its size does not grow with the data. Tokens counted once cannot
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import LOWER_AZ, WS_CHARS, WS_CLASS, Rolling, as_long, bound_batches, discard, documents, mix, runs_of, sorted_sets, stored, stored_at, text_batches, word_spans
 
+#: Of the query op4_line_dedup only, as its SQL has it.
 MIN_TOKENS = 5
 SKETCH_BITS = 22
 #: Counts above this are as good as it.
@@ -94,8 +97,8 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 LINES = "s1 long, s2 long, n int, d long, l int, p1 long, p2 long, tok array<int>, pos array<int>"
 
 
-def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """A row for each line of at least MIN_TOKENS tokens: set signature, size, place, and its prefix tokens with their positions."""
+def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int, min_tokens: int) -> DataFrame:
+    """A row for each line of at least ``min_tokens`` tokens: set signature, size, place, and its prefix tokens with their positions."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, MOST_COUNT).astype(np.uint16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,7 @@ def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int) -
         for part, data, off in text_batches(batches):
             line, h, doc, number, size, at = line_sets(data, off)
             row = np.repeat(np.arange(len(size)), size)
-            keep = size >= MIN_TOKENS
+            keep = size >= min_tokens
             n_of, row_kept = size[keep], (np.cumsum(keep) - 1)
             mine = keep[row]
             h, row = h[mine], row_kept[row[mine]]
@@ -123,6 +126,8 @@ def lines_with_prefix(docs: DataFrame, counts: np.ndarray, num: int, den: int) -
             h, rank = h[by], rank[by]
             pos = np.arange(len(h)) - np.repeat(at, n_of)
             length = n_of - (-(-num * n_of // den)) + 1
+            # the nearest other set has one token more: n of n + 1
+            length[n_of * den < num * (n_of + 1)] = 0
             sent = (pos < np.repeat(length, n_of)) & (rank > 1)
             n_sent = np.add.reduceat(sent, at)
             offs = pa.array(np.concatenate([[0], np.cumsum(n_sent)]).astype(np.int32))
@@ -169,11 +174,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(F.col("common") * (den + num) >= F.col("all") * num).select("xd", "xl", "yd", "yl")
 
 
-def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(d, l): the lines of at least MIN_TOKENS tokens that no earlier line matches."""
+def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = 1) -> DataFrame:
+    """(d, l): the lines of at least ``min_tokens`` tokens that no earlier line matches."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
-    rows = lines_with_prefix(docs, token_counts(docs), num, den)
+    rows = lines_with_prefix(docs, token_counts(docs), num, den, max(1, min_tokens))
     first = rows.groupBy("s1", "s2", "n").agg(F.min(F.struct("d", "l", "p1", "p2", "tok", "pos")).alias("f"))
     classes, path = stored_at(first.select("n", *[f"f.{c}" for c in ("d", "l", "p1", "p2", "tok", "pos")]))
     fields = ["d", "l", "n", "pos", "p1", "p2"]
@@ -208,23 +213,23 @@ def kept_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     return flagged.where("open").select("d", "l").join(more.distinct(), ["d", "l"], "left_anti")
 
 
-def _apply(docs: DataFrame, num: int, den: int) -> DataFrame:
-    kept = kept_lines(docs, num, den).groupBy(F.col("d").alias("_d")).agg(F.collect_list("l").alias("_keep"))
+def _apply(docs: DataFrame, num: int, den: int, min_tokens: int) -> DataFrame:
+    kept = kept_lines(docs, num, den, min_tokens).groupBy(F.col("d").alias("_d")).agg(F.collect_list("l").alias("_keep"))
     return docs.join(kept, docs.doc_id == kept["_d"], "left")
 
 
-def _cut(text: str, keep: set[int]) -> tuple[bytes, int, int]:
+def _cut(text: str, keep: set[int], min_tokens: int) -> tuple[bytes, int, int]:
     """The text without the lines that go, how many lines it had and how many went."""
     lines = text.encode().split(b"\n")
-    out = [x for i, x in enumerate(lines) if i in keep or len(set(x.lower().split())) < MIN_TOKENS]
+    out = [x for i, x in enumerate(lines) if i in keep or len(set(x.lower().split())) < max(1, min_tokens)]
     return b"\n".join(out), len(lines), len(lines) - len(out)
 
 
 REPORT = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
-def line_report(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per document: lines, lines removed, and the hash of the text that is left."""
+def line_report(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Per document: lines, lines removed, and the hash of the text that is left; ``min_tokens`` is the query's unless given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,14 +237,14 @@ def line_report(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
                 part = batch.slice(at, 256)
                 rows = []
                 for text, keep in zip(part.column("text").to_pylist(), part.column("_keep").to_pylist(), strict=True):
-                    rows.append((0, 0, hashlib.sha256(b"").hexdigest()) if text is None else (lambda t, n, m: (n, m, hashlib.sha256(t).hexdigest()))(*_cut(text, set(keep or ()))))
+                    rows.append((0, 0, hashlib.sha256(b"").hexdigest()) if text is None else (lambda t, n, m: (n, m, hashlib.sha256(t).hexdigest()))(*_cut(text, set(keep or ()), min_tokens)))
                 n, m, sha = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sha)], [f.split()[0] for f in REPORT.split(", ")])
 
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den).select("doc_id", "text", "_keep").mapInArrow(run, REPORT)
+    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den, min_tokens).select("doc_id", "text", "_keep").mapInArrow(run, REPORT)
 
 
-def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The documents with their later matching lines cut; those that lose their last word by it go.
 
     Columns are those of ``docs``; n_chars, if there, is that of the new text.
@@ -253,13 +258,13 @@ def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> Data
                 part = batch.slice(at, 256)
                 texts, good = [], []
                 for t, keep in zip(part.column(text).to_pylist(), part.column("_keep").to_pylist(), strict=True):
-                    cut, _, gone = (None, 0, 0) if t is None else _cut(t, set(keep or ()))
+                    cut, _, gone = (None, 0, 0) if t is None else _cut(t, set(keep or ()), min_tokens)
                     texts.append(t if not gone else cut.decode())
                     good.append(not gone or bool(cut.split()))
                 cols = [pa.array(texts, c.type) if i == text else c for i, c in enumerate(part.columns[: len(columns)])]
                 yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(good))
 
-    out = _apply(docs, num, den).select(*[docs[c] for c in columns], "_keep").mapInArrow(run, docs.schema)
+    out = _apply(docs, num, den, min_tokens).select(*[docs[c] for c in columns], "_keep").mapInArrow(run, docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -130,6 +130,24 @@ def test_line_dedup(spark, docs, texts):
     assert kept.columns == docs.columns
 
 
+def test_line_dedup_short_lines(spark, texts):
+    more = [(20_000, "Les.\nAnd ornd.\none two three four\none two three\nthe end of it\n\nmany a word stands here"), (20_001, "les.\nornd. AND and\nfour three two one five\none two\nthe end of\n\nstands here word a"), (20_002, "Les.\nfour one two three\nnew")]
+    both = [(i, t) for i, t, *_ in texts] + more
+    got = rows(line_dedup.line_report(spark.createDataFrame(both, "doc_id long, text string"), min_tokens=1))
+    sets: list[frozenset] = []
+    for i, t in sorted(x for x in both if x[1] is not None):
+        out, lines = [], t.encode().split(b"\n")
+        for line in lines:
+            s = frozenset(line.lower().split())
+            if not s or not any(180 * len(s & o) >= 80 * (len(s) + len(o)) for o in sets):
+                out.append(line)
+            if s:
+                sets.append(s)
+        assert (got[i].n_lines, got[i].n_removed) == (len(lines), len(lines) - len(out)), i
+        assert got[i].kept_sha256 == hashlib.sha256(b"\n".join(out)).hexdigest()
+    assert (got[20_001].n_removed, got[20_002].n_removed) == (4, 2)
+
+
 def test_mixing(docs, texts):
     sizes, per, got = mixing.mix(docs, block_words=16)
     taken = {r.doc_id: r.n for r in got.groupBy("doc_id").sum("n").withColumnRenamed("sum(n)", "n").collect()}

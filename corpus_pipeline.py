@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line are cut; documents that lose their last word by it go."""
-    return line_dedup.without_later_lines(docs)
+    """Lines of any length that match an earlier line are cut; documents that lose their last word by it go."""
+    return line_dedup.without_later_lines(docs, min_tokens=1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

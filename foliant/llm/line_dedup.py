@@ -244,7 +244,7 @@ def line_report(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int
     return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den, min_tokens).select("doc_id", "text", "_keep").mapInArrow(run, REPORT)
 
 
-def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN, min_tokens: int = 1) -> DataFrame:
     """The documents with their later matching lines cut; those that lose their last word by it go.
 
     Columns are those of ``docs``; n_chars, if there, is that of the new text.

@@ -313,3 +313,12 @@ def test_pipeline(spark, sf, tmp_path):
             assert docs.columns == before.columns
             assert docs.join(before, "doc_id", "left_anti").count() == 0
     assert docs.count() > 0
+
+
+def test_pipeline_drops_exact_copies_with_short_lines(spark):
+    import corpus_pipeline
+
+    text = "Les.\nAll rights reserved.\nthis line has more than five words\n\nAnd ornd.\none two three four"
+    docs = spark.createDataFrame([(1, text), (2, "And ornd.\nnew"), (3, text), (4, text.upper()), (5, None), (6, " \n")], "doc_id long, text string")
+    got = rows(corpus_pipeline.dedup_lines(spark, docs, ""))
+    assert {i: r.text for i, r in got.items()} == {1: text, 2: "new", 5: None, 6: " \n"}

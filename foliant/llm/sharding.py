@@ -3,8 +3,12 @@
 Documents with links move towards the shard that most of their neighbours are in; a move is
 taken only while the shard has room for it. All rounds are joins of edges with labels, votes
 are counted by (document, shard) and moves into a shard are numbered by a distributed
-prefix, so neither a shard nor a hub is ever one task's work. In each round half of the
-documents (by a hash) may move, which keeps neighbours from swapping places for ever.
+prefix, so neither a shard nor a hub is ever one task's work. Links form trees, whose levels
+take turns: in a round, the even or the odd levels of a tree may move, and in the next the
+others; which come first is drawn anew for each tree and two rounds. So no two neighbours move at once, and each move leaves fewer links cut. The
+rounds end when no document, whatever its turn, has more neighbours in another shard than in
+its own, or when ``QUIET`` rounds running have together moved ``1 / FEW`` of the linked documents
+or less (none, where fewer than ``FEW`` are linked).
 
 Law ``rows``: the counts of the shards differ by one at most. After the rounds, each shard
 keeps its linked documents first; rows above its quota fill the shards below theirs, in
@@ -22,13 +26,15 @@ columns are dropped; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.common import documents, materialise, prefix
 
 SHARDS = 8
-ROUNDS = 4
+QUIET, FEW = 4, 10_000
 FAN = 64
 
 
@@ -44,36 +50,56 @@ def tree_parent(rank: Column, fan: int = FAN) -> Column:
     return out
 
 
-def copies_tree(nodes: DataFrame, key: str) -> DataFrame:
-    """Edges (a, b) that link the nodes with equal ``key`` by a tree of bounded degree; null keys link with nothing."""
+def tree_side(rank: Column, fan: int = FAN) -> Column:
+    """0 on the even and 1 on the odd levels of the tree: a level is the count of digits that are not zero."""
+    level, step = F.lit(0), 1
+    while step * fan < 1 << 62:
+        level = level + (rank % (step * fan) >= step).cast("int")
+        step *= fan
+    return level % 2
+
+
+def copies_tree(nodes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that link the nodes with equal ``key`` by a tree of bounded degree, and (id, tree, side) of the nodes with an edge; null keys link with nothing."""
     groups = nodes.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c")).where("_c > 1").select(key)
     members = nodes.join(groups, key).select("id", "doc_id", "k", F.col(key).alias("g"))
     members = materialise(prefix(members, ["g"], ["doc_id", "k"], None, "rank", buckets=256))
     low = members.select(F.col("id").alias("a"), "g", tree_parent(F.col("rank")).alias("rank")).where("rank is not null")
-    return low.join(members.select(F.col("id").alias("b"), "g", "rank"), ["g", "rank"]).select("a", "b")
+    edges = low.join(members.select(F.col("id").alias("b"), "g", "rank"), ["g", "rank"]).select("a", "b")
+    return edges, members.select("id", F.xxhash64("g").alias("tree"), tree_side(F.col("rank")).alias("side"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, shard) of the nodes that have an edge. ``nodes`` has id, doc_id, k and start (its first shard)."""
+def propagate(nodes: DataFrame, edges: DataFrame, sides: DataFrame, total: int, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """(id, shard) of the nodes that have an edge, after ``rounds`` at most if given.
+
+    ``nodes`` has id, doc_id, k and start (its first shard); ``sides`` has id, tree and side of the
+    nodes with an edge, which must join different sides of one tree.
+    """
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.select(F.col("a").alias("id")).distinct()
-    labels = materialise(nodes.join(linked, "id").select("id", "doc_id", "k", F.col("start").alias("shard")))
+    labels = materialise(nodes.join(sides, "id").select("id", "doc_id", "k", "tree", "side", F.col("start").alias("shard")))
     cap = -(-total // shards)
-    for r in range(rounds):
+    few, moves = labels.count() // FEW, []
+    for r in itertools.count() if rounds is None else range(rounds):
         votes = both.join(labels.select(F.col("id").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count("*").alias("v"))
         best = votes.groupBy("a").agg(F.max(F.struct("v", (-F.col("shard")).alias("neg"))).alias("best"), F.collect_list(F.struct("shard", "v")).alias("all"))
         asked = labels.join(best, labels.id == best.a)
         own = F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: F.when(x["shard"] == F.col("shard"), x["v"]).otherwise(acc))
-        turn = F.pmod(F.xxhash64("doc_id", "k", F.lit(7)), F.lit(2)) == r % 2
-        asked = asked.withColumn("to", F.when(turn & (F.col("best.v") > own), -F.col("best.neg")))
-        asked = materialise(asked.select("id", "doc_id", "k", "shard", "to"))
+        turn = F.pmod(F.xxhash64("tree", F.lit(r // 2)) + r % 2, F.lit(2)) == F.col("side")
+        asked = asked.withColumn("wish", F.when(F.col("best.v") > own, -F.col("best.neg")))
+        asked = materialise(asked.select("id", "doc_id", "k", "tree", "side", "shard", "wish", F.when(turn, F.col("wish")).alias("to")))
+        if asked.where("wish is not null").limit(1).count() == 0:
+            break
         load = {row["shard"]: row["count"] for row in labels.groupBy("shard").count().collect()}  # one row for each shard
         room = F.lit(0)
         for s in range(shards):
             room = F.when(F.col("to") == s, F.lit(max(0, cap - load.get(s, 0)))).otherwise(room)
         movers = prefix(asked.where("to is not null"), ["to"], ["doc_id", "k"], None, "turn_no").where(F.col("turn_no") < room)
         moved = asked.join(movers.select("id", F.col("to").alias("new")), "id", "left")
-        labels = materialise(moved.select("id", "doc_id", "k", F.coalesce("new", "shard").alias("shard")))
+        labels = materialise(moved.select("id", "doc_id", "k", "tree", "side", F.coalesce("new", "shard").alias("shard"), F.col("new").isNotNull().alias("moved")))
+        moves.append(labels.where("moved").count())
+        labels = labels.drop("moved")
+        if len(moves) >= QUIET and sum(moves[-QUIET:]) <= few:
+            break
     return labels.select("id", "shard")
 
 
@@ -102,14 +128,14 @@ def balance_rows(placed: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumns({"_shard": shard.cast("int"), "slot": slot.cast("long")}).withColumn("shard", F.col("_shard")).drop("_shard", "extra", "rank", "want")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.col("text").cast("string")
     nodes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
     nodes = nodes.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")).cast("long"))
     nodes = nodes.withColumns({"id": F.struct("doc_id", "k"), "start": F.pmod(F.xxhash64("doc_id", "k"), F.lit(shards)).cast("int")})
     nodes = materialise(nodes)
-    labels = propagate(nodes, copies_tree(nodes, "digest"), nodes.count(), shards, rounds)
+    labels = propagate(nodes, *copies_tree(nodes, "digest"), nodes.count(), shards, rounds)
     placed = nodes.join(labels.withColumnRenamed("shard", "label"), "id", "left")
     placed = materialise(placed.select("doc_id", "k", "size", "text_crc32", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "start").alias("want")))
     out = balance_rows(placed, shards)

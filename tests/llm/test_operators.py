@@ -266,6 +266,21 @@ def test_sharding(docs, texts):
     assert sum(len(v) > 1 for v in groups.values()) <= 1
 
 
+def split_groups(df):
+    groups = collections.defaultdict(set)
+    for r in df.collect():
+        groups[r.text_crc32].add(r.shard)
+    return sum(len(v) > 1 for v in groups.values())
+
+
+def test_sharding_unites_pairs(spark):
+    pairs = [(2 * i + j, f"pair {i}") for i in range(300) for j in (0, 1)]
+    threes = [(1000 + i, f"group {i % 20}") for i in range(100)]
+    singles = [(5000 + i, f"single {i}") for i in range(3000)]
+    df = spark.createDataFrame(pairs + threes + singles, "doc_id long, text string")
+    assert split_groups(sharding.shard_documents(df)) == 0
+
+
 def test_quality_rules(spark, docs, texts):
     loop = [(30_000, "a b c d e f g h " * 6), (30_001, "one two three four five six seven eight nine ten " * 2), (30_002, "\n".join(["same line here"] * 3 + ["# $ %"]))]
     both = [(i, t) for i, t, *_ in texts] + loop

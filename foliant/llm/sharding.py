@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.
 
-Documents with links move towards the shard that most of their neighbours are in; a move is
-taken only while the shard has room for it. All rounds are joins of edges with labels, votes
+Documents with links start dealt evenly and move towards the shard that most of their
+neighbours are in. Moves are taken as far as shards have room; rows that leave in the same
+round make room too, by exchanges between two shards and by cycles of several. All rounds are joins of edges with labels, votes
 are counted by (document, shard) and moves into a shard are numbered by a distributed
 prefix, so neither a shard nor a hub is ever one task's work. Links form trees, whose levels
 take turns: in a round, the even or the odd levels of a tree may move, and in the next the
@@ -69,15 +70,62 @@ def copies_tree(nodes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return edges, members.select("id", F.xxhash64("g").alias("tree"), tree_side(F.col("rank")).alias("side"))
 
 
+def quotas(total: int, shards: int) -> list[int]:
+    """Rows of each shard."""
+    return [total // shards + (s < total % shards) for s in range(shards)]
+
+
+def flows(want: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the ``want[s][t]`` rows that would go from s to t may go: no more can be added.
+
+    No shard gets more rows than leave it and its room hold; room below 0 is filled by leaving rows first.
+    """
+    n = len(want)
+    left, room = [list(row) for row in want], list(room)
+    for s in range(n):
+        for t in range(s):
+            both = min(left[s][t], left[t][s])
+            left[s][t] -= both
+            left[t][s] -= both
+    # walk until a shard comes again, and take that cycle; a shard without a way on is in none
+    dead: set[int] = set()
+    for start in range(n):
+        path = [start] if start not in dead else []
+        while path:
+            on = next((t for t in range(n) if left[path[-1]][t] and t not in dead), None)
+            if on is None:
+                dead.add(path.pop())
+            elif on in path:
+                cycle = path[path.index(on) :]
+                edges = list(zip(cycle, cycle[1:] + cycle[:1], strict=True))
+                most = min(left[a][b] for a, b in edges)
+                for a, b in edges:
+                    left[a][b] -= most
+                path = path[: path.index(on) + 1]
+            else:
+                path.append(on)
+    while True:
+        at = next(((s, t) for t in range(n) if room[t] > 0 for s in range(n) if left[s][t]), None)
+        if at is None:
+            return [[want[s][t] - left[s][t] for t in range(n)] for s in range(n)]
+        s, t = at
+        more = min(left[s][t], room[t])
+        left[s][t] -= more
+        room[t] -= more
+        room[s] += more
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, sides: DataFrame, total: int, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(id, shard) of the nodes that have an edge, after ``rounds`` at most if given.
 
-    ``nodes`` has id, doc_id, k and start (its first shard); ``sides`` has id, tree and side of the
+    ``nodes`` has id, doc_id and k; ``sides`` has id, tree and side of the
     nodes with an edge, which must join different sides of one tree.
     """
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(nodes.join(sides, "id").select("id", "doc_id", "k", "tree", "side", F.col("start").alias("shard")))
-    cap = -(-total // shards)
+    labels = materialise(nodes.join(sides, "id").select("id", "doc_id", "k", "tree", "side"))
+    labels = prefix(labels.withColumn("all", F.lit(0)), ["all"], ["doc_id", "k"], None, "rank").withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int"))
+    labels = materialise(labels.drop("all", "rank"))
+    quota = quotas(total, shards)
     few, moves = labels.count() // FEW, []
     for r in itertools.count() if rounds is None else range(rounds):
         votes = both.join(labels.select(F.col("id").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.count("*").alias("v"))
@@ -89,11 +137,15 @@ def propagate(nodes: DataFrame, edges: DataFrame, sides: DataFrame, total: int,
         asked = materialise(asked.select("id", "doc_id", "k", "tree", "side", "shard", "wish", F.when(turn, F.col("wish")).alias("to")))
         if asked.where("wish is not null").limit(1).count() == 0:
             break
-        load = {row["shard"]: row["count"] for row in labels.groupBy("shard").count().collect()}  # one row for each shard
-        room = F.lit(0)
-        for s in range(shards):
-            room = F.when(F.col("to") == s, F.lit(max(0, cap - load.get(s, 0)))).otherwise(room)
-        movers = prefix(asked.where("to is not null"), ["to"], ["doc_id", "k"], None, "turn_no").where(F.col("turn_no") < room)
+        load, want = [0] * shards, [[0] * shards for _ in range(shards)]
+        for row in asked.groupBy("shard", "to").count().collect():  # one row for each pair of shards
+            load[row["shard"]] += row["count"]
+            if row["to"] is not None:
+                want[row["shard"]][row["to"]] = row["count"]
+        taken = flows(want, [q - n for q, n in zip(quota, load, strict=True)])
+        taken = asked.sparkSession.createDataFrame([(s, t, n) for s, row in enumerate(taken) for t, n in enumerate(row)], "shard int, to int, most long")
+        movers = prefix(asked.where("to is not null").withColumn("to", F.col("to").cast("int")), ["shard", "to"], ["doc_id", "k"], None, "turn_no")
+        movers = movers.join(F.broadcast(taken), ["shard", "to"]).where("turn_no < most")
         moved = asked.join(movers.select("id", F.col("to").alias("new")), "id", "left")
         labels = materialise(moved.select("id", "doc_id", "k", "tree", "side", F.coalesce("new", "shard").alias("shard"), F.col("new").isNotNull().alias("moved")))
         moves.append(labels.where("moved").count())
@@ -109,7 +161,7 @@ def balance_rows(placed: DataFrame, shards: int) -> DataFrame:
     for row in placed.groupBy("want").count().collect():  # one row for each shard
         counts[row["want"]] = row["count"]
     total = sum(counts)
-    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    quota = quotas(total, shards)
     ranked = prefix(placed, ["want"], ["doc_id", "k"], None, "rank", coarse=F.when(F.col("linked"), 0).otherwise(1))
     limit, before, at = F.lit(0).cast("long"), F.lit(0).cast("long"), 0
     for s in range(shards):

@@ -281,6 +281,24 @@ def test_sharding_unites_pairs(spark):
     assert split_groups(sharding.shard_documents(df)) == 0
 
 
+def test_sharding_unites_pairs_without_room(spark):
+    df = spark.createDataFrame([(2 * i + j, f"pair {i}") for i in range(400) for j in (0, 1)], "doc_id long, text string")
+    # of the pairs left, no set closes a cycle of shards: 7 at most, where no round has failed to find one
+    assert split_groups(sharding.shard_documents(df)) <= 14
+
+
+def test_flows():
+    assert sharding.flows([[0, 3, 0], [2, 0, 0], [0, 0, 0]], [0, 0, 0]) == [[0, 2, 0], [2, 0, 0], [0, 0, 0]]
+    assert sharding.flows([[0, 3, 0], [0, 0, 2], [4, 0, 0]], [0, 0, 0]) == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+    assert sharding.flows([[0, 3, 0], [0, 0, 2], [0, 0, 0]], [-1, 0, 1]) == [[0, 1, 0], [0, 0, 1], [0, 0, 0]]
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        want, room = rng.integers(0, 9, (5, 5)) * (1 - np.eye(5, dtype=int)), rng.integers(-3, 4, 5)
+        got = np.array(sharding.flows(want.tolist(), room.tolist()))
+        gain = got.sum(0) - got.sum(1)
+        assert (got >= 0).all() and (got <= want).all() and (gain <= np.maximum(room, 0)).all()
+
+
 def test_quality_rules(spark, docs, texts):
     loop = [(30_000, "a b c d e f g h " * 6), (30_001, "one two three four five six seven eight nine ten " * 2), (30_002, "\n".join(["same line here"] * 3 + ["# $ %"]))]
     both = [(i, t) for i, t, *_ in texts] + loop

@@ -6,15 +6,15 @@ tokenising and hashing are numpy passes over bytes instead of Python loops over
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
-import time
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +72,27 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inv[start])
 
 
+#: Words of more lanes of 8 bytes than this are hashed as a whole by BLAKE2.
+_LANES = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: 8 bytes at a time go through ``mix``, which is not linear, so no pattern of bytes collides by its form."""
+    n = ends - starts
+    lanes = np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    h = mix(n.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019))
+    h = mix(h + (lanes[starts] & _LOW[np.minimum(n, 8)]))
+    for k in range(1, _LANES):
+        idx = np.flatnonzero(n > 8 * k)
+        if not len(idx):
+            return h
+        h[idx] = mix(h[idx] * _U(_P) + (lanes[starts[idx] + 8 * k] & _LOW[np.minimum(n[idx] - 8 * k, 8)]))
+    for i in np.flatnonzero(n > 8 * _LANES):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts Arrow batches into slices of about ``most`` bytes of text (one long text may exceed it).
 
@@ -174,23 +195,45 @@ def prefix(df: DataFrame, group: list[str], order: list[str], value: str | None,
     return joined.select(*[F.col(c) for c in df.columns if c not in ("_bucket", "_in")], (F.col("_base") + F.col("_in")).alias(out))
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, Column], rows: int = 50_000) -> DataFrame:
+    """Adds exclusive prefix sums over all rows in ``order``, without a task that sees all of them.
+
+    Rows are dealt out by ranges of ``order`` (about ``rows`` in each), and the sums of the
+    ranges, one row each, get their prefix. ``order`` identifies a row and is never null.
+    """
+    df = materialise(df)
+    parts = max(1, -(-df.count() // rows))
+    names = {c: f"_{c}_sum" for c in sums}
+    ranged = materialise(df.withColumns({names[c]: v for c, v in sums.items()}).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_part").agg(*[F.sum(n).alias(n) for n in names.values()])
+    base = base.select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_base") for n in names.values()])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({f"{n}_in": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in names.values()}).join(base, "_part")
+    return out.select(*df.columns, *[(F.col(f"{n}_base") + F.col(f"{n}_in")).alias(c) for c, n in names.items()])
+
+
 # ---------------------------------------------------------------- lineage
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it is unset, one in /tmp on a single machine, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "/tmp/checkpoints"
+    return folder.rstrip("/")
 
-    spark.checkpoint.dir is read from the session; only where it is unset (tests on one
-    machine) is a folder in /tmp set.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder of the session."""
     spark = df.sparkSession
+    folder = shared_folder(spark)
     if not spark.conf.get("spark.checkpoint.dir", None):
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    out = df.checkpoint(True)
-    _release(spark)
-    return out
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -198,40 +241,60 @@ def stored(df: DataFrame) -> DataFrame:
     return stored_at(df)[0]
 
 
+#: Stored tables that are left, and go when the driver ends.
+_LEFT: dict[str, SparkSession] = {}
+
+
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """``stored``, and the table's path for ``discard``."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _release(df.sparkSession)
-    return df.sparkSession.read.parquet(path), path
+    _LEFT[path] = spark
+    _collect_garbage(spark)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a stored table that nothing reads any more."""
+    _LEFT.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets the driver collect plans that are done with, so that Spark deletes their shuffle files now rather than at the end.
+@atexit.register
+def _discard_left() -> None:
+    for path, spark in list(_LEFT.items()):
+        with contextlib.suppress(Exception):  # a session that is gone cannot delete
+            discard(spark, path)
 
-    Events hold finished plans until they have been handled, so these are waited for; what the
-    first collection finds is only let go by the second.
-    """
-    for _ in range(2):
-        gc.collect()
-        with contextlib.suppress(Py4JJavaError):  # a busy bus only means that files go later
-            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that the driver has let go; asking once after a large step keeps the disk low, and needs no waiting."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # only a hint: sessions without a JVM of their own have none to ask
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """At most ``rows`` rows go to a Python worker at once: documents are long, and the default of 10,000 is a third of a worker's memory."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Inside, at most ``rows`` rows go to a Python worker at once: documents are long, and the default of 10,000 is a third of a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that no column of ``taken`` has, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

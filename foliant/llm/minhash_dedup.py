@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, Rolling, as_long, bound_batches, components, documents, materialise, mix, sorted_sets, stored, text_batches, word_spans
+from foliant.llm.common import LOWER_AZ, as_long, components, documents, materialise, mix, sorted_sets, small_batches, stored, text_batches, word_hashes, word_spans
 
 COLLECTIONS = 16
 ROWS = 3
@@ -49,7 +49,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     """Document and hash of every shingle of a batch, repeats included, in order of documents."""
     data = LOWER_AZ[data]
     starts, ends, doc = word_spans(data, off)
-    words = Rolling(data).ranges(starts, ends)
+    words = word_hashes(data, starts, ends)
     n = np.bincount(doc, minlength=len(off) - 1)
     short = np.flatnonzero((n > 0) & (n < width))
     m = len(words) - width + 1
@@ -171,7 +171,11 @@ def compare(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept)."""
-    bound_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, num, den)
+
+
+def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(sketches(docs, width))
     shared = ["n_shingles", "s1", "s2"]

@@ -105,7 +105,11 @@ def test_license_scan(spark, docs):
     assert got[4].digest is None
 
 
-def test_line_dedup(spark, docs, texts):
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup(spark, docs, texts, monkeypatch, small):
+    if small:  # hot tokens, slices and all turns on small data
+        for name, value in (("HOT", 6), ("SLICE", 5), ("TURNS", (1, 2, None)), ("HELD", 500), ("PACKED", 7), ("PAIRS", 50)):
+            monkeypatch.setattr(line_dedup, name, value)
     words = [f"w{i}" for i in range(30)]
     more = [(20_000, "\n".join([" ".join(words), " ".join(words[:27] + ["q", "r"]), "a b c", "a b c"])), (20_001, " ".join(reversed(words)) + "\nAn other line of six words"), (20_002, "an OTHER line of six words\n\nend")]
     both = [(i, t) for i, t, *_ in texts] + more
@@ -119,8 +123,8 @@ def test_line_dedup(spark, docs, texts):
         out, lines = [], t.encode().split(b"\n")
         for line in lines:
             s = frozenset(line.lower().split())
-            gone = len(s) >= 5 and any(180 * len(s & o) >= 80 * (len(s) + len(o)) for o in sets)
-            if len(s) >= 5:
+            gone = bool(s) and any(180 * len(s & o) >= 80 * (len(s) + len(o)) for o in sets)
+            if s:
                 sets.append(s)
             if not gone:
                 out.append(line)
@@ -133,7 +137,7 @@ def test_line_dedup(spark, docs, texts):
 def test_line_dedup_short_lines(spark, texts):
     more = [(20_000, "Les.\nAnd ornd.\none two three four\none two three\nthe end of it\n\nmany a word stands here"), (20_001, "les.\nornd. AND and\nfour three two one five\none two\nthe end of\n\nstands here word a"), (20_002, "Les.\nfour one two three\nnew")]
     both = [(i, t) for i, t, *_ in texts] + more
-    got = rows(line_dedup.line_report(spark.createDataFrame(both, "doc_id long, text string"), min_tokens=1))
+    got = rows(line_dedup.line_report(spark.createDataFrame(both, "doc_id long, text string")))
     sets: list[frozenset] = []
     for i, t in sorted(x for x in both if x[1] is not None):
         out, lines = [], t.encode().split(b"\n")
@@ -149,8 +153,9 @@ def test_line_dedup_short_lines(spark, texts):
 
 
 def test_mixing(docs, texts):
-    sizes, per, got = mixing.mix(docs, block_words=16)
-    taken = {r.doc_id: r.n for r in got.groupBy("doc_id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    sizes, per, got = mixing.mix(docs, block_words=16, shard_slots=64)
+    summed = lambda df: {r.d: r.n for r in df.groupBy("d").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    taken = summed(got)
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in texts}
     source = {i: s for i, _, _, s in texts}
     names = sorted({s for s in source.values() if s is not None}, key=lambda s: [ord(c) for c in s]) + [None]
@@ -172,8 +177,10 @@ def test_mixing(docs, texts):
         assert abs(shown[s] - target[s]) < 1e-6
         assert abs(sum(taken.get(i, 0) for i in size if source[i] == s) - target[s]) <= 1
     assert all(taken.get(i, 0) <= 3 * size[i] for i in size)
-    again = {r.doc_id: r.n for r in mixing.mix(docs, block_words=16)[2].groupBy("doc_id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
-    assert again == taken
+    assert summed(mixing.mix(docs, block_words=16, shard_slots=64)[2]) == taken
+    # each word of a slot is taken once, and a shard is full but for its last
+    for shard, places in collections.Counter((r.shard) for r in got.select("shard", "place").distinct().collect()).items():
+        assert places == 64 or shard == max(r.shard for r in got.select("shard").distinct().collect())
     mixed = mixing.mixed_documents(docs, block_words=16)
     words = collections.Counter()
     for r in mixed.collect():
@@ -181,6 +188,45 @@ def test_mixing(docs, texts):
     assert {i: n for i, n in words.items() if n} == {i: n for i, n in taken.items() if n}
 
 
+def test_mixing_draws(spark):
+    """Counts of a shard are multinomial given the totals: means by share, variances by the hypergeometric law."""
+    from pyspark.sql import functions as F
+
+    per = spark.createDataFrame([(False, "a", 400_000, 400_000.0), (False, "b", 150_000, 200_000.0), (True, "", 30_000, 90_000.0)], "s_null boolean, s string, source_size long, target double")
+    counts, total = mixing.slot_counts(per, 10)
+    drawn = mixing.draws(counts, total, shard_slots=256)
+    n = {r.s: r.n_slots for r in counts.collect()}
+    assert n == {"a": 40_000, "b": 20_000, "": 9_000} and total == 69_000
+    table = np.zeros((total // 256, 3))
+    for r in drawn.where(F.col("shard") < total // 256).collect():
+        table[r.shard, ["a", "b", ""].index(r.s)] = r.n
+    assert (table.sum(1) == 256).all()
+    share = np.array([40, 20, 9]) / 69
+    assert (abs(table.mean(0) - 256 * share) < 3 * np.sqrt(256 * share * (1 - share) / len(table))).all()
+    assert (abs(table.var(0) / (256 * share * (1 - share)) - 1) < 0.35).all()
+    slots = mixing.slots(per, 10, 256).collect()
+    assert collections.Counter(r.s for r in slots) == n
+    assert sorted((r.shard, r.place) for r in slots) == [(i // 256, i % 256) for i in range(total)]
+    assert max(collections.Counter((r.s, r.block) for r in slots).values()) <= 3
+    assert sum(r.words for r in slots if r.s == "b") == 200_000
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h i j", "x"), (1, "a b c d e f g h i j", "x"), (1, "k l m", "x"), (1, "k l m", None), (None, "n o p", "y"), (None, "n o p", "y"), (2, None, "y"), (3, "q " * 400, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS _spans", "2 AS _k")
+    sizes, per, got = mixing.mix(df, block_words=4)
+    taken = {(r.d_null, r.d, r.h, r.k): r.n for r in got.groupBy("d_null", "d", "h", "k").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    all_rows = sizes.collect()
+    assert len(all_rows) == 8 and len({(r.d_null, r.d, r.h, r.k) for r in all_rows}) == 8
+    assert all(taken.get((r.d_null, r.d, r.h, r.k), 0) <= 3 * r["size"] for r in all_rows)
+    target = {(r.s_null, r.s): r.target for r in per.collect()}
+    for key, t in target.items():
+        assert abs(sum(taken.get((r.d_null, r.d, r.h, r.k), 0) for r in all_rows if (r.s_null, r.s) == key) - t) <= 1
+    mixed = mixing.mixed_documents(df, block_words=4)
+    assert mixed.columns == df.columns
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(taken.values())
+
+
 def test_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

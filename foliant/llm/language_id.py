@@ -1,21 +1,26 @@
 """Language ID: interpolated Kneser-Ney character models, one per language.
 
-Models are fitted on a bounded sample of labelled rows: ``SAMPLE_DOCS`` documents of each
-language on average, chosen by a hash of doc_id. n-gram counts are gathered with Spark, each
+Models are fitted on a bounded sample of labelled rows: for each of the ``MAX_LANGUAGES``
+commonest languages, ``SAMPLE_DOCS`` documents on average and no more characters than its
+part of ``SAMPLE_CHARS``, chosen by a hash of doc_id among those of ``SAMPLE_LENGTH``
+characters or less. All n-grams of the sample count. n-gram counts are gathered with Spark, each
 language's model is built in a task of its own from its (bounded) counts, and the models are
 broadcast as sorted hash arrays: for each order, hashes of n-grams with their interpolated
 log probability, and hashes of contexts with their log back-off weight. A document goes to
 the language with the lowest cross-entropy per character; its score is the softmax of the
 cross-entropies over up to ``SCORE_CHARS`` characters.
 
-Rejection is calibrated: texts without a letter are ``und``; texts of at least ``MIN_CHARS``
-characters are rejected when their cross-entropy is above ``MARGIN`` times the 0.999
-quantile of the labelled sample's.
+Rejection is calibrated on a fifth of the sample, which the models are not fitted on: for
+each power of two up to ``LONGEST``, windows of so many characters of these texts are scored,
+and ``MARGIN`` times the 0.999 quantile of their cross-entropies is the limit for texts of
+that length up to twice it (the last one for longer texts too). A text without a letter is
+``und`` and rejected.
 
 Scoring is a row-local map; n-grams that a worker has met are kept in a table of fixed size.
 
 Defined results: null text, or none with a letter, gives und with score 0; repeated rows are
-judged one by one; whole texts count, however long; ties go to the first language by code
+judged one by one; whole texts count, however long (in pieces of ``PIECE`` characters that
+see the characters before them); a null doc_id is not fitted on; ties go to the first language by code
 point; no labelled rows, or an empty table: every prediction is und, or no rows; extra
 columns are dropped by ``predict`` and kept by ``keep_known``.
 """
@@ -34,14 +39,17 @@ from foliant.llm.common import documents, mix
 
 ORDER = 4
 SAMPLE_DOCS = 2_000
-#: Languages and n-grams of each that a model may hold.
+#: Bounds of the sample: languages, characters of all languages together, and characters of a document.
 MAX_LANGUAGES = 500
-MAX_NGRAMS = 1_000_000
+SAMPLE_CHARS = 64_000_000
+SAMPLE_LENGTH = 200_000
 #: The uniform distribution below the unigrams.
 ALPHABET = 4_096
 SCORE_CHARS = 60
-MIN_CHARS = 40
-MARGIN = 1.6
+LONGEST = 256
+MARGIN = 1.3
+#: Characters that are scored together.
+PIECE = 1 << 18
 TABLE_BITS = 19
 
 _U = np.uint64
@@ -58,7 +66,10 @@ def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of lower-cased texts, each after ORDER - 1 zeros, and where each begins."""
-    lows = ["\0" * (ORDER - 1) + t.lower() for t in texts]
+    return laid_out(["\0" * (ORDER - 1) + t.lower() for t in texts])
+
+
+def laid_out(lows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(t) for t in lows], np.int64)
     data = np.frombuffer("".join(lows).encode("utf-32-le", "surrogatepass"), np.uint32)
     return data, np.concatenate([[0], np.cumsum(n)])
@@ -74,7 +85,7 @@ def positions(off: np.ndarray, n: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", *[f"c{i}" for i in range(ORDER)], "n"]
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
         for lang, part in frame.groupby("lang"):
             data, off = codes(part["text"].tolist())
@@ -155,10 +166,34 @@ class Scorer:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character (texts x languages) in nats, and characters of each."""
-        data, off = codes(texts)
+        total, n = np.zeros((len(texts), len(self.models))), np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def score() -> None:
+            of = np.array([i for i, _ in held])
+            sums, m = self._sums([x for _, x in held])
+            np.add.at(total, of, sums)
+            np.add.at(n, of, m)
+
+        for i, text in enumerate(texts):
+            for a in range(0, len(text), PIECE):
+                before = text[max(0, a - ORDER + 1) : a].lower()[1 - ORDER :] if a else ""
+                held.append((i, before.rjust(ORDER - 1, "\0") + text[a : a + PIECE].lower()))
+                size += min(PIECE, len(text) - a)
+                if size >= 2 * PIECE:
+                    score()
+                    held, size = [], 0
+        if held:
+            score()
+        return total / np.maximum(n, 1)[:, None], n
+
+    def _sums(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Negative log-probability (pieces x languages), and characters of each; a piece begins with ORDER - 1 characters that only count as context."""
+        data, off = laid_out(pieces)
         n = np.diff(off) - (ORDER - 1)
         at = positions(off, len(data))
-        out = np.zeros((len(texts), len(self.models)))
+        out = np.zeros((len(pieces), len(self.models)))
         if not len(at):
             return out, n
         h = gram_hash([data[at - ORDER + 1 + i] for i in range(ORDER)])
@@ -178,38 +213,41 @@ class Scorer:
         some = np.flatnonzero(n > 0)
         starts = np.cumsum(n[some]) - n[some]
         for j in range(len(self.models)):
-            out[some, j] = -np.add.reduceat(values[:, j].astype(np.float64), starts) / n[some]
+            out[some, j] = -np.add.reduceat(values[:, j].astype(np.float64), starts)
         return out, n
 
 
 class Model:
-    """Languages in order of code points, their hash arrays, and the rejection limit (None: not calibrated)."""
+    """Languages in order of code points, their hash arrays, and the rejection limits by powers of two of the length (None: not calibrated)."""
+
+    def __init__(self, languages: list[str], models: list[dict[str, np.ndarray]], limits: np.ndarray | None = None):
+        self.languages, self.models, self.limits = languages, models, limits
 
-    def __init__(self, languages: list[str], models: list[dict[str, np.ndarray]], limit: float | None = None):
-        self.languages, self.models, self.limit = languages, models, limit
+    def rejects(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if self.limits is None:
+            return np.zeros(len(n), bool)
+        step = np.log2(np.maximum(n, 1)).astype(np.int64)
+        return (n > 0) & (entropy > self.limits[np.minimum(step, len(self.limits) - 1)])
 
 
 def sample(docs: DataFrame, seed: int = 5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled rows to fit on: not held out, text and lang not null, about ``sample_docs`` for each language."""
-    labelled = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    """Labelled rows to fit on: not held out, text and lang not null, about ``sample_docs`` for each language; ``check`` marks those kept for calibration."""
+    labelled = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_LENGTH))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(draw < share).select("doc_id", "lang", "text")
+    for row in counts:
+        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample_docs / row["n"], SAMPLE_CHARS / len(counts) / max(row["chars"], 1)))).otherwise(share)
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    return labelled.where(draw(seed) < share).select("doc_id", "lang", "text", (draw(seed + 1) < 0.2).alias("check"))
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Counts with Spark, builds each language in its own task, and calibrates the limit on the sample."""
+    """Counts with Spark, builds each language in its own task, and calibrates the limits on the part of the sample that is held back."""
     chosen = sample(docs, sample_docs=sample_docs)
     cols = [f"c{i}" for i in range(ORDER)]
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n long").groupBy("lang", *cols).agg(F.sum("n").alias("n"))
+    counts = chosen.where("not check").select("lang", "text").mapInArrow(_count, "lang string, " + ", ".join(f"{c} int" for c in cols) + ", n long").groupBy("lang", *cols).agg(F.sum("n").alias("n"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", *cols], ascending=[False, *[True] * ORDER]).head(MAX_NGRAMS)
         model = kneser_ney(frame[cols].to_numpy(np.uint32), frame["n"].to_numpy())
         rows = [(frame["lang"].iloc[0], k, str(v.dtype), v.tobytes()) for k, v in model.items()]
         return pd.DataFrame(rows, columns=["lang", "name", "kind", "data"])
@@ -220,9 +258,18 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     languages = sorted(models)
     model = Model(languages, [models[x] for x in languages])
     if languages:
-        known = predict_with(chosen, model).where(F.col("n") >= MIN_CHARS)
-        top = known.agg(F.percentile_approx("entropy", 0.999, 10_000)).first()[0]
-        model.limit = None if top is None else float(top) * MARGIN
+        steps = [1 << k for k in range(LONGEST.bit_length())]
+        start = lambda w: (F.pmod(F.xxhash64("doc_id", F.lit(w)), F.greatest(F.char_length("text") - w, F.lit(0)) + 1) + 1).cast("int")
+        windows = F.array(*[F.col("text").substr(start(w), F.lit(w)) for w in steps])
+        known = predict_with(chosen.where("check").select("doc_id", F.explode(windows).alias("text")), model).where("n > 0")
+        step = F.least(F.floor(F.log2("n")), F.lit(len(steps) - 1))
+        tops = {row["k"]: row["top"] for row in known.groupBy(step.alias("k")).agg(F.percentile_approx("entropy", 0.999, 10_000).alias("top")).collect()}
+        if tops:  # a length without a window has the limit of the next shorter one, or no limit
+            limits, last = [], np.inf
+            for k in range(len(steps)):
+                last = tops[k] * MARGIN if k in tops else last
+                limits.append(last)
+            model.limits = np.array(limits)
     return model
 
 
@@ -257,7 +304,7 @@ def predict_with(docs: DataFrame, model: Model) -> DataFrame:
                     odds = np.exp(-(h - entropy[:, None]) * np.minimum(n, SCORE_CHARS)[:, None]).sum(1)
                     score, known = np.round(1 / odds, 9), letters
                 langs = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                out = ~known | ((n >= MIN_CHARS) & (entropy > (np.inf if model.limit is None else model.limit)))
+                out = ~known | model.rejects(entropy, n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(entropy.astype(float)), pa.array(n.astype(np.int64)), pa.array(out)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
@@ -290,7 +337,7 @@ def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
                     h, n = scorer.entropies(texts)
                     best = h.argmin(1)
                     low = h[np.arange(len(texts)), best]
-                    good &= ~((n >= MIN_CHARS) & (low > (np.inf if model.limit is None else model.limit)))
+                    good &= ~model.rejects(low, n)
                     labels = [model.languages[b] if x is None else x for x, b in zip(labels, best, strict=True)]
                 cols = [pa.array(labels, c.type) if i == lang else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array(good))
@@ -301,4 +348,4 @@ def keep_known(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
-    return predict(docs).select("doc_id", held, "lang_pred", "score")
+    return predict(docs).select("doc_id", held, "lang_pred", "score", "entropy", "rejected")

@@ -7,11 +7,13 @@ are stitched at the first boundary in the overlap that both neighbours have, as
 on both chains are the same. The last two boundaries of a chunk are not used, as their
 matches might have gone on or looked further in the whole text. Where no boundary
 is shared within an overlap, the chain goes on from the left chunk's last sure boundary
-until it meets the right chunk's, so the result never depends on the cuts. Pieces are then
-encoded on their own by merge ranks.
+until it meets the right chunk's, so the result never depends on the cuts. Pieces are
+encoded on their own by merge ranks, by the task of their chunk; the task that stitches
+takes the ids of the pieces that stand, and encodes only those that no chunk has.
 
 Texts of one chunk are encoded where they are read; only longer ones are dealt out by chunk
 and brought together by document (a document is one row of the input, so that is bounded).
+All steps are linear in a text's length.
 
 Defined results: a null or empty text has no tokens and the hash of the empty string;
 repeated rows are encoded one by one; special-token strings are ordinary text; unpaired
@@ -23,7 +25,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -105,22 +109,37 @@ def stitch(t: Tokenizer, text: str, starts: list[int], ends: list[list[int]]) ->
     out = list(sure[0])
     for i in range(1, len(sure)):
         right = {starts[i], *sure[i]}
-        left = [x for x in out if x >= starts[i]]
-        meet = next((x for x in left if x in right), None)
+        meet = next((x for x in islice(out, bisect_left(out, starts[i]), None) if x in right), None)
         if meet is None:  # the left chain goes on over the whole text until it meets the right one
             at = out[-1] if out else 0
             while at < len(text) and at not in right:
                 at = t.match(text, at).end()
                 out.append(at)
             meet = at
-        while out and out[-1] > meet:
-            out.pop()
-        out += [x for x in sure[i] if x > meet]
+        del out[bisect_right(out, meet) :]
+        out += sure[i][bisect_right(sure[i], meet) :]
     return out
 
 
-def cut(text: str, ends: list[int]) -> list[str]:
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+def assemble(t: Tokenizer, text: str, starts: list[int], ends: list[list[int]], counts: list[list[int]], ids: list[list[int]]) -> list[int]:
+    """Ids of the whole text from those of its chunks' pieces (``counts`` of each piece)."""
+    pieces = []  # for each chunk, start of a piece -> (its end, where its ids begin and end)
+    for start, e, n in zip(starts, ends, counts, strict=True):
+        at = list(accumulate(n, initial=0))
+        pieces.append(dict(zip([start, *e], zip(e, at, at[1:], strict=False), strict=False)))
+    out: list[int] = []
+    a = 0
+    for b in stitch(t, text, starts, ends):
+        i = bisect_right(starts, a) - 1
+        for k in (i, i - 1):
+            found = pieces[k].get(a) if k >= 0 else None
+            if found is not None and found[0] == b:
+                out += ids[k][found[1] : found[2]]
+                break
+        else:
+            out += t.piece(text[a:b])
+        a = b
+    return out
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -154,28 +173,42 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chun
                 part = batch.slice(at, 256)
                 yield _rows(part.column("doc_id").to_pylist(), [t.encode(t.findall(x)) for x in part.column("text").to_pylist()], t, digests)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each chunk; each text is walked once."""
+        for batch in batches:
+            for row, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "text")], strict=True):
+                starts = list(range(0, (len(text) - overlap - 1) // step * step + 1, step))
+                for i in range(0, len(starts), 64):
+                    some = starts[i : i + 64]
+                    cols = [pa.array([row] * len(some), pa.int64()), pa.array([doc_id] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([text[x : x + chunk] for x in some])]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "start", "text"])
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        for batch in batches:
-            start = batch.column("start").to_pylist()
-            ends = [[s + e for e in boundaries(t, x)] for s, x in zip(start, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], ["row", "doc_id", "start", "text", "ends"])
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            ends, counts, ids = [], [], []
+            for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = boundaries(t, text)
+                of = [t.piece(text[a:b]) for a, b in zip([0, *own], own, strict=False)]
+                ends.append([start + e for e in own])
+                counts.append([len(x) for x in of])
+                ids.append([i for x in of for i in x])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.list_(pa.int32())) for x in (ends, counts, ids)]], ["row", "doc_id", "start", "text", "ends", "counts", "ids"])
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         t = tokenizer(path, pattern)
         rows = rows.sort_values("start")
-        starts = rows["start"].tolist()
-        texts = rows["text"].tolist()
+        starts, texts = rows["start"].tolist(), rows["text"].tolist()
         whole = "".join(x[: b - a] for a, b, x in zip(starts, starts[1:], texts, strict=False)) + texts[-1]
-        ids = t.encode(cut(whole, stitch(t, whole, starts, [e.tolist() for e in rows["ends"]])))
-        return _rows([int(rows["doc_id"].iloc[0])], [ids], t, digests).to_pandas()
+        ids = assemble(t, whole, starts, *[[x.tolist() for x in rows[c]] for c in ("ends", "counts", "ids")])
+        doc_id = rows["doc_id"].iloc[0]
+        return _rows([None if pd.isna(doc_id) else int(doc_id)], [ids], t, digests).to_pandas()
 
     brief = docs.where(length <= chunk).mapInArrow(short, schema)
     step = chunk - overlap
     long = docs.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
-    long = long.withColumn("start", F.explode(F.sequence(F.lit(0), F.floor((length - overlap - 1) / step).cast("int") * step, F.lit(step))))
-    long = long.select("row", "doc_id", "start", F.expr(f"substring(text, start + 1, {chunk})").alias("text"))
-    long = long.repartition("row", "start").mapInArrow(chunks, "row long, doc_id long, start int, text string, ends array<int>")
+    long = long.select("row", "doc_id", "text").mapInArrow(deal, "row long, doc_id long, start int, text string")
+    long = long.repartition("row", "start").mapInArrow(chunks, "row long, doc_id long, start int, text string, ends array<int>, counts array<int>, ids array<int>")
     return brief.unionByName(long.groupBy("row").applyInPandas(join, schema))
 
 

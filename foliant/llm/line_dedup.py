@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from foliant.llm.common import LOWER_AZ, WS_CHARS, WS_CLASS, as_long, documents, fresh, mix, runs_of, small_batches, stored, text_batches, word_hashes, word_spans
 
 SKETCH_BITS = 22
-#: Counters are sent in so many parts.
-PARTS = 64
+#: Counters are sent in a part for each shuffle partition, as a power of two in these bounds.
+PARTS = (16, 1024)
 #: Tokens in more lines are joined with a second one; keys in more are cut into slices of so many.
 HOT = 1 << 16
 SLICE = 1 << 20
@@ -83,7 +83,9 @@ def _counter(h: np.ndarray) -> np.ndarray:
 def token_counts(docs: DataFrame) -> np.ndarray:
     """How often the tokens of each sketch counter occur, over all documents; 2 ** SKETCH_BITS numbers."""
     size = 1 << SKETCH_BITS
-    part = size // PARTS
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS[0]), PARTS[1])
+    parts = 1 << parts.bit_length() - 1
+    part = size // parts
     names = ["part", "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +100,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
                 held, n_held = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=size)
-        for k in range(PARTS):
+        for k in range(parts):
             some = np.flatnonzero(total[k * part : (k + 1) * part])
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(some.astype(np.int32))]), pa.array([pack(total[k * part + some])])], names)
@@ -113,7 +115,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
 
     schema = "part int, at binary, n binary"
     out = np.zeros(size, np.int64)
-    for row in docs.select("text").mapInArrow(run, schema).repartition(PARTS, "part").mapInArrow(add, schema).select("part", "n").collect():  # PARTS rows of fixed size
+    for row in docs.select("text").mapInArrow(run, schema).repartition(parts, "part").mapInArrow(add, schema).select("part", "n").collect():  # rows of fixed size
         out[row["part"] * part : (row["part"] + 1) * part] = unpack(bytes(row["n"]), np.int64)
     return out
 
@@ -172,7 +174,7 @@ def _prefixes(words: tuple[np.ndarray, ...], ids: np.ndarray, counts: np.ndarray
     at, n = runs_of(row)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return {c: none.astype(t) for c, t in POSTING.items()} | {"s1": none.astype(np.uint64)}, {c: none for c in ("line", "key", "pos", "slices")}
+        return {c: none.astype(t) for c, t in POSTING.items()} | {"s1": none.astype(np.uint64), "s2": none.astype(np.uint64)}, {c: none for c in ("line", "key", "pos", "slices")}
     half, bit = (h >> _U(6)) & _U(1) == 0, _U(1) << (h & _U(63))
     s1, s2 = np.add.reduceat(mix(h), at), np.bitwise_xor.reduceat(mix(h + _U(0x632BE59BD9B4E019)), at)
     lines = {"n": n, "s1": s1, "s2": s2, "s": (s2 >> _U(32)).astype(np.uint32), "d": ids[doc[at]], "l": number[at]}

@@ -7,17 +7,19 @@ restart interval. Entropy coding is lossless, so the coefficients read back are
 The blocks form a grid as square as can be; blocks after the payload are filler, and a
 comment segment holds the payload's length.
 
-Reading parses the markers, splits the scan at its restart markers and Huffman-decodes all
-restart intervals of a batch in lock step with numpy. Thumbnails take only the DC
-coefficient of each block (its mean luminance); the feature holds the dimensions and a
-64-bit average hash of the thumbnail.
+Reading parses the markers, splits the scan at its restart markers and Huffman-decodes
+restart intervals in lock step with numpy. Any baseline file with one scan of all its
+components is read, whatever their sampling factors and tables; a file without restart
+markers is one interval. Thumbnails take only the DC coefficient of each luminance block
+(its mean); the feature holds the dimensions and a 64-bit average hash of the thumbnail.
 
-Both steps are row-local maps over Arrow batches, cut to about 1 MB of payload at a time, so
-memory is bounded by the longest single text.
+Both steps are row-local maps over Arrow batches, cut to about 1 MB of payload at a time;
+within a longer text, ``SLICE`` blocks are encoded or decoded at a time, so beyond the text
+and its file memory is bounded by a slice.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal values;
 repeated rows are stored one by one; extra columns are dropped; an empty table gives an
-empty result; payloads above 65,535 x 65,535 samples (4 GB) raise an error.
+empty result; a file that cannot be read has null features; payloads above 65,535 x 65,535 samples (4 GB) raise an error.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ AC_SYMBOLS = [0x00, *range(1, 9), 0xF0, *(r << 4 | s for r in range(1, 16) for s
 AC_LENGTHS = [4] * 9 + [9] * 121
 
 MAX_SIDE = 65_535 // 8
+#: Blocks that are encoded or decoded together.
+SLICE = 1 << 14
 
 
 def canonical(lengths: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -149,9 +153,47 @@ def grid(n_blocks: int) -> tuple[int, int]:
     return cols, rows
 
 
+def scan_bytes(blocks: np.ndarray, number: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scan bytes of blocks, and where those of each block end: stuffed, with the restart marker of its ``number`` after each block but the ``last`` of a file."""
+    body, ends = encode_blocks(blocks)
+    # stuffing: a zero byte after each 0xFF
+    extra = (body == 0xFF).astype(np.int64)
+    marker = np.zeros(len(body), np.int64)
+    marker[ends - 1] = np.where(last, 0, 2)
+    size = 1 + extra + marker
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[at] = body
+    has = np.flatnonzero(~last)
+    spot = at[ends[has] - 1] + 1 + extra[ends[has] - 1]
+    out[spot] = 0xFF
+    out[spot + 1] = 0xD0 + (number[has] & 7)
+    return out, np.append(at, len(out))[ends]
+
+
+def _head(cols: int, rows: int, n_blocks: int) -> bytes:
+    return b"\xff\xd8" + _segment(0xFE, b"payload=%d" % (n_blocks * 64)) + _TABLES + _segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + bytes([1, 0x11, 0])) + _SCAN
+
+
+def _encode_long(data: np.ndarray) -> bytes:
+    n_blocks = max(1, -(-len(data) // 64))
+    cols, rows = grid(n_blocks)
+    parts = [_head(cols, rows, n_blocks)]
+    for a in range(0, cols * rows, SLICE):
+        b = min(a + SLICE, cols * rows)
+        blocks = np.zeros((b - a) * 64, np.uint8)
+        own = data[a * 64 : b * 64]
+        blocks[: len(own)] = own
+        number = np.arange(a, b)
+        parts.append(scan_bytes(blocks.view(np.int8).reshape(-1, 64), number, number == cols * rows - 1)[0].tobytes())
+    return b"".join([*parts, b"\xff\xd9"])
+
+
 def encode_payloads(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     """JPEG files that hold the payloads data[off[i]:off[i+1]], padded."""
     n_bytes = np.diff(off)
+    if int(n_bytes.max(initial=0)) > 64 * SLICE:
+        return [_encode_long(data[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
     n_blocks = np.maximum(1, -(-n_bytes // 64))
     grids = [grid(int(n)) for n in n_blocks]
     filled = np.array([c * r for c, r in grids], np.int64)
@@ -159,56 +201,46 @@ def encode_payloads(data: np.ndarray, off: np.ndarray) -> list[bytes]:
     blocks = np.zeros(int(first[-1]) * 64, np.uint8)
     shift = np.repeat(first[:-1] * 64 - off[:-1], n_bytes)
     blocks[np.arange(len(data)) + shift] = data
-    body, ends = encode_blocks(blocks.view(np.int8).reshape(-1, 64))
-    # stuffing: a zero byte after each 0xFF; a restart marker after each block but a file's last
-    extra = (body == 0xFF).astype(np.int64)
-    marker = np.zeros(len(body), np.int64)
-    marker[ends - 1] = 2
-    marker[ends[first[1:] - 1] - 1] = 0
-    size = 1 + extra + marker
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    out[at] = body
-    number = np.arange(len(ends)) - np.repeat(first[:-1], filled)
-    has = np.flatnonzero(marker[ends - 1])
-    spot = at[ends[has] - 1] + 1 + extra[ends[has] - 1]
-    out[spot] = 0xFF
-    out[spot + 1] = 0xD0 + (number[has] & 7)
-    stop = np.append(at, len(out))[ends[first[1:] - 1]]
+    number = np.arange(int(first[-1])) - np.repeat(first[:-1], filled)
+    last = number == np.repeat(filled - 1, filled)
+    out, ends = scan_bytes(blocks.view(np.int8).reshape(-1, 64), number, last)
+    stop = ends[first[1:] - 1]
     begin = np.concatenate([[0], stop[:-1]])
-    files = []
-    for i, (cols, rows) in enumerate(grids):
-        head = b"\xff\xd8" + _segment(0xFE, b"payload=%d" % (int(n_blocks[i]) * 64)) + _TABLES + _segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + bytes([1, 0x11, 0])) + _SCAN
-        files.append(head + out[begin[i] : stop[i]].tobytes() + b"\xff\xd9")
-    return files
+    return [_head(cols, rows, int(n_blocks[i])) + out[begin[i] : stop[i]].tobytes() + b"\xff\xd9" for i, (cols, rows) in enumerate(grids)]
 
 
 class Header:
-    """The markers of one baseline file: dimensions, tables, restart interval and where the scan lies."""
+    """The markers of one baseline file: dimensions, components, tables, restart interval and where the scan lies."""
 
     def __init__(self, file: bytes):
-        self.payload, self.restart, self.quant = None, 0, 1
-        self.tables: dict[int, bytes] = {}
+        self.payload, self.restart = None, 0
+        quant: dict[int, int] = {}
+        tables: dict[int, bytes] = {}
+        frame: list[tuple[int, int, int, int]] = []
         if file[:2] != b"\xff\xd8":
             raise ValueError("no SOI marker")
         at = 2
         while True:
-            if file[at] != 0xFF:
+            while file[at : at + 2] == b"\xff\xff":  # fill bytes
+                at += 1
+            if at + 4 > len(file) or file[at] != 0xFF:
                 raise ValueError("a marker is missing")
             marker, n = file[at + 1], struct.unpack_from(">H", file, at + 2)[0]
             body = file[at + 4 : at + 2 + n]
             at += 2 + n
             if marker == 0xDB:
-                self.quant = body[1]
+                while body:
+                    wide = body[0] >> 4
+                    quant[body[0] & 15] = struct.unpack_from(">H" if wide else ">B", body, 1)[0]
+                    body = body[1 + 64 * (1 + wide) :]
             elif marker == 0xC4:
                 while body:
                     size = 17 + sum(body[1:17])
-                    self.tables[body[0]] = body[:size]
+                    tables[body[0]] = body[:size]
                     body = body[size:]
             elif marker == 0xC0:
                 _, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
-                if parts != 1:
-                    raise ValueError("only files with one component are read")
+                frame = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(parts)]
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("only baseline files are read")
             elif marker == 0xDD:
@@ -216,11 +248,21 @@ class Header:
             elif marker == 0xFE and body.startswith(b"payload="):
                 self.payload = int(body[8:])
             elif marker == 0xDA:
-                self.scan = at
-                self.dc, self.ac = self.tables[body[2] >> 4], self.tables[0x10 | body[2] & 15]
                 break
-        self.cols, self.rows = -(-self.width // 8), -(-self.height // 8)
-        self.interval = self.restart or self.cols * self.rows
+        if not frame or body[0] != len(frame) or [body[1 + 2 * i] for i in range(body[0])] != [c[0] for c in frame]:
+            raise ValueError("only files with one scan of all components are read")
+        self.scan, self.quant = at, quant.get(frame[0][3], 1)
+        # the blocks of one MCU: component, and its tables; one component alone has MCUs of one block
+        one = len(frame) == 1
+        most_h, most_v = max(c[1] for c in frame), max(c[2] for c in frame)
+        self.h, self.v = (1, 1) if one else (frame[0][1], frame[0][2])
+        self.pattern = tuple((i, tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]) for i, c in enumerate(frame) for _ in range(1 if one else c[1] * c[2]))
+        wide, high = (8, 8) if one else (8 * most_h, 8 * most_v)
+        self.mcu_cols, self.mcu_rows = -(-self.width // wide), -(-self.height // high)
+        self.cols = self.mcu_cols if one else -(-(-(-self.width * self.h // most_h)) // 8)
+        self.rows = self.mcu_rows if one else -(-(-(-self.height * self.v // most_v)) // 8)
+        self.n_mcus = self.mcu_cols * self.mcu_rows
+        self.interval = self.restart or self.n_mcus
 
 
 _LOOKUPS: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -249,25 +291,29 @@ def _take(words: np.ndarray, pos: np.ndarray, table: tuple[np.ndarray, np.ndarra
     return symbol, value, pos + bits + size
 
 
-def decode_intervals(data: np.ndarray, start: np.ndarray, n_blocks: np.ndarray, dc: bytes, ac: bytes) -> np.ndarray:
+def decode_intervals(data: np.ndarray, start: np.ndarray, n_mcus: np.ndarray, pattern: tuple) -> np.ndarray:
     """Coefficients (blocks, 64) in zigzag order of restart intervals that begin at bytes ``start`` of unstuffed data."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.int64)
     n = len(data) + 1
     words = padded[:n] << 32 | padded[1 : n + 1] << 24 | padded[2 : n + 2] << 16 | padded[3 : n + 3] << 8 | padded[4 : n + 4]
-    dc_table, ac_table = _lookup(dc), _lookup(ac)
+    n_blocks = n_mcus * len(pattern)
     first = np.cumsum(n_blocks) - n_blocks
     out = np.zeros(int(n_blocks.sum()) * 64, np.int64)
-    pos, before = start * 8, np.zeros(len(start), np.int64)
+    pos, before = start * 8, np.zeros((1 + max(c for c, _, _ in pattern), len(start)), np.int64)
     for j in range(int(n_blocks.max()) if len(n_blocks) else 0):
         live = np.flatnonzero(n_blocks > j)
+        part, dc, ac = pattern[j % len(pattern)]
+        dc_table, ac_table = _lookup(dc), _lookup(ac)
         base = (first[live] + j) * 64
         symbol, value, p = _take(words, pos[live], dc_table)
-        before[live] += np.where(symbol & 15, value, 0)
-        out[base] = before[live]
+        before[part, live] += np.where(symbol & 15, value, 0)
+        out[base] = before[part, live]
         k = np.zeros(len(live), np.int64)
         idx = np.arange(len(live))
         done = np.zeros(len(live), np.int64)
         while len(idx):
+            if int(p.max()) > 8 * n:
+                raise ValueError("the scan ends too early")
             symbol, value, p = _take(words, p, ac_table)
             size = symbol & 15
             k = k + (symbol >> 4) + 1
@@ -285,45 +331,92 @@ def decode_intervals(data: np.ndarray, start: np.ndarray, n_blocks: np.ndarray,
     return out.reshape(-1, 64)
 
 
-def decode_files(files: list[bytes]) -> list[tuple[Header, np.ndarray]]:
-    """Header and coefficients (blocks, 64) of each file; files with the same tables are decoded together."""
-    heads = [Header(f) for f in files]
-    groups: dict[tuple[bytes, bytes], list[int]] = {}
-    for i, h in enumerate(heads):
-        groups.setdefault((h.dc, h.ac), []).append(i)
+def _intervals(head: Header, file: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The scan's bytes, where its intervals begin and end (markers left out), and the MCUs of each."""
+    data = np.frombuffer(file, np.uint8)[head.scan :]
+    ff = np.flatnonzero(data[:-1] == 0xFF)
+    mark = ff[(data[ff + 1] != 0) & (data[ff + 1] != 0xFF)]
+    restarts = mark[(data[mark + 1] & 0xF8) == 0xD0]
+    over = mark[(data[mark + 1] & 0xF8) != 0xD0]
+    end = int(over[0]) if len(over) else len(data)
+    restarts = restarts[restarts < end]
+    counts = np.minimum(head.interval, head.n_mcus - np.arange(0, head.n_mcus, head.interval))
+    if len(counts) != len(restarts) + 1:
+        raise ValueError("restart markers do not fit the dimensions")
+    return data, np.concatenate([[0], restarts + 2]), np.append(restarts, end), counts
+
+
+def _unstuffed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes without the zeros that follow 0xFF, and how many stay before each place."""
+    drop = np.zeros(len(data), bool)
+    drop[1:] = (data[:-1] == 0xFF) & (data[1:] == 0)
+    return data[~drop], np.cumsum(~drop) - ~drop
+
+
+def decode_files(files: list[bytes]) -> list[tuple[Header, np.ndarray] | None]:
+    """Header and coefficients (blocks, 64) of each file, or None where it cannot be read; slices of files with the same tables are decoded together."""
     out: list = [None] * len(files)
-    for (dc, ac), members in groups.items():
-        scans = [np.frombuffer(files[i], np.uint8)[heads[i].scan :] for i in members]
-        sizes = np.array([len(s) for s in scans])
-        data = np.concatenate(scans)
-        ff = np.flatnonzero(data[:-1] == 0xFF)
-        after = data[ff + 1]
-        drop = np.zeros(len(data), bool)
-        drop[ff[after == 0] + 1] = True
-        mark = ff[after != 0]
-        drop[mark] = drop[mark + 1] = True
-        begins = np.cumsum(sizes) - sizes
-        starts = np.sort(np.concatenate([begins, mark[(data[mark + 1] & 0xF8) == 0xD0] + 2]))
-        kept = np.cumsum(~drop) - ~drop
-        counts = []
-        for i in members:
-            blocks, step = heads[i].cols * heads[i].rows, heads[i].interval
-            counts.append(np.minimum(step, blocks - np.arange(0, blocks, step)))
-        n_blocks = np.concatenate(counts)
-        if len(n_blocks) != len(starts):
-            raise ValueError("restart markers do not fit the dimensions")
-        coefs = decode_intervals(data[~drop], kept[starts], n_blocks, dc, ac)
+    groups: dict[tuple, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    heads: dict[int, Header] = {}
+    for i, file in enumerate(files):
+        try:
+            head = Header(file)
+            data, begin, end, counts = _intervals(head, file)
+        except (ValueError, KeyError, IndexError, struct.error):
+            continue
+        heads[i] = head
+        # an interval is never cut; a slice has about SLICE blocks
+        step = max(1, SLICE // (head.interval * len(head.pattern)))
+        for a in range(0, len(begin), step):
+            b = min(a + step, len(begin))
+            groups.setdefault(head.pattern, []).append((i, data[begin[a] : end[b - 1]], begin[a:b] - begin[a], counts[a:b]))
+    parts: dict[int, list[np.ndarray]] = {i: [] for i in heads}
+    for pattern, slices in groups.items():
         at = 0
-        for i in members:
-            n = heads[i].cols * heads[i].rows
-            out[i] = (heads[i], coefs[at : at + n])
-            at += n
+        while at < len(slices):
+            held, blocks = [], 0
+            while at < len(slices) and (not held or blocks + int(slices[at][3].sum()) * len(pattern) <= SLICE):
+                held.append(slices[at])
+                blocks += int(slices[at][3].sum()) * len(pattern)
+                at += 1
+            try:
+                decoded = _decode_slices(held, pattern)
+            except (ValueError, IndexError):  # one of them cannot be read: each on its own
+                decoded = []
+                for one in held:
+                    try:
+                        decoded += _decode_slices([one], pattern)
+                    except (ValueError, IndexError):
+                        decoded.append(None)
+            for (i, *_), coefs in zip(held, decoded, strict=True):
+                parts[i].append(coefs)
+    for i, found in parts.items():
+        if all(x is not None for x in found):
+            out[i] = (heads[i], np.concatenate(found))
     return out
 
 
+def _decode_slices(slices: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], pattern: tuple) -> list[np.ndarray]:
+    raw = np.concatenate([s[1] for s in slices])
+    base = np.cumsum([0, *[len(s[1]) for s in slices]])
+    data, kept = _unstuffed(raw)
+    start = np.append(kept, len(data))[np.concatenate([s[2] + b for s, b in zip(slices, base, strict=False)])]
+    coefs = decode_intervals(data, start, np.concatenate([s[3] for s in slices]), pattern).astype(np.int16)
+    cuts = np.cumsum([int(s[3].sum()) * len(pattern) for s in slices])[:-1]
+    return np.split(coefs, cuts)
+
+
+def luminance(head: Header, coefs: np.ndarray) -> np.ndarray:
+    """DC coefficients of the first component, by rows and columns of its blocks."""
+    n = head.h * head.v
+    dc = coefs[:, 0].reshape(head.n_mcus, len(head.pattern))[:, :n].astype(np.int64)
+    whole = dc.reshape(head.mcu_rows, head.mcu_cols, head.v, head.h).transpose(0, 2, 1, 3).reshape(head.mcu_rows * head.v, head.mcu_cols * head.h)
+    return whole[: head.rows, : head.cols]
+
+
 def thumbnail(head: Header, coefs: np.ndarray) -> np.ndarray:
     """Luminance of each block from its DC coefficient alone."""
-    return np.clip(coefs[:, 0] * head.quant // 8 + 128, 0, 255).astype(np.uint8).reshape(head.rows, head.cols)
+    return np.clip(luminance(head, coefs) * head.quant // 8 + 128, 0, 255).astype(np.uint8)
 
 
 def average_hash(thumb: np.ndarray) -> str:
@@ -346,7 +439,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, _, _ in text_batches(batches, "media", 3 << 19):
         files = part.column("media").to_pylist()
         rows = []
-        for file, (head, coefs) in zip(files, decode_files(files), strict=True):
+        for file, found in zip(files, decode_files(files), strict=True):
+            if found is None:
+                rows.append((None, None, None, len(file), hashlib.sha256(file).hexdigest(), None))
+                continue
+            head, coefs = found
             payload = coefs.astype(np.int8).tobytes()[: head.payload]
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), f"{head.width}x{head.height}:{average_hash(thumbnail(head, coefs))}"))
         cols = list(zip(*rows, strict=True))

@@ -17,10 +17,14 @@ of comparisons in proportion to their size.
 
 Equal sets are one class, represented by the smallest doc_id.
 
+Words and shingles are known by 64-bit hashes that are not linear (see ``word_hashes``), so
+sets are compared by them: two of a document's shingles, or of two compared documents', fall
+together with a chance of their number squared over 2 ** 65.
+
 Defined results: null and empty texts, and texts without words, have the empty set and link
 with nothing; texts with fewer words than a shingle have their whole sequence as one
 shingle; equal similarities are links at exactly the threshold; repeated texts share a
-component; extra columns are dropped by ``near_duplicates`` and kept by ``keep_first``; an
+component; rows with a null doc_id are linked with nothing, and have no component; extra columns are dropped by ``near_duplicates`` and kept by ``keep_first``; an
 empty table gives an empty result.
 """
 
@@ -33,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, as_long, components, documents, materialise, mix, sorted_sets, small_batches, stored, text_batches, word_hashes, word_spans
+from foliant.llm.common import LOWER_AZ, as_long, components, documents, fresh, materialise, mix, sorted_sets, small_batches, stored, text_batches, word_hashes, word_spans
 
 COLLECTIONS = 16
 ROWS = 3
+#: Table keys that a task makes.
+KEYS = 1_000_000
 #: Similarity as a ratio of whole numbers: NUM / DEN.
 NUM, DEN = 80, 100
 
@@ -181,8 +187,10 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     shared = ["n_shingles", "s1", "s2"]
     reps = sets.where("n_shingles > 0").groupBy(*shared).agg(F.min("doc_id").alias("rep"))
     member = materialise(sets.drop("sketch").join(reps, shared, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    first = sets.join(member.where("doc_id = rep and n_shingles > 0").select("doc_id"), "doc_id", "left_semi")
-    keys = table_keys(first)
+    classes = member.where("doc_id = rep and n_shingles > 0").select("doc_id")
+    # each class makes a key for each table; about KEYS of them are made by a task
+    tasks = max(1, -(-classes.count() * len(_PAIRS) // KEYS))
+    keys = table_keys(sets.join(classes, "doc_id", "left_semi").repartition(tasks, "doc_id"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meets = materialise(keys.join(buckets.hint("shuffle_hash"), "key"))
     score = meets.groupBy("id").agg(F.sum("n").alias("score"))
@@ -214,16 +222,32 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     joined = components(new.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
     out = member.join(comps, member.rep == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("c"))
     out = out.join(joined, out.c == joined.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "c").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
+def keep_first(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN, before: DataFrame | None = None) -> DataFrame:
+    """One document of each component: the one with the smallest doc_id stays.
 
-def keep_first(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller doc_id in their component.
+    ``before``: earlier texts of the documents, whose links count too. Where lines that other
+    documents have were cut, copies are left with what they do not share, and only their
+    earlier texts show that they are copies. Links through documents that are not in
+    ``docs`` any more count; the document that stays is one of ``docs``.
 
-    A doc_id that occurs twice keeps all its rows or none.
+    A doc_id that occurs twice keeps all its rows or none; a null doc_id keeps its rows.
     """
-    gone = near_duplicates(docs, width, num, den).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = near_duplicates(docs, width, num, den).where("doc_id <> component_id").select("doc_id", "component_id")
+    if before is not None:
+        own = stored(near_duplicates(before, width, num, den).where("doc_id <> component_id").select("doc_id", "component_id"))
+        edges = own.unionByName(stored(found)).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        found = components(edges).select(F.col("id").alias("doc_id"), F.col("comp").alias("component_id"))
+        here = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        found = stored(found.join(here, "doc_id", "left_semi"))
+        first = found.groupBy("component_id").agg(F.min("doc_id").alias("first"))
+        found = found.join(first, "component_id").where("doc_id <> first")
+    gone = fresh(docs.columns, "_gone")
+    lost = found.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, docs["doc_id"].cast("long") == lost[gone], "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

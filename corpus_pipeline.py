@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run``
 writes each result as Parquet to the shared folder and reads it again for the next stage.
+
+Defined results: rows with a null or empty text, or without a letter, are rejected by language
+ID; equal documents and documents of matching lines fall to the first by doc_id; rows with a
+null doc_id are neither cut nor linked, but are mixed and encoded; extra columns pass through
+to the last stage, whatever their names; empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import byte_bpe, language_id, line_dedup, minhash_dedup, mixing
+from foliant.llm import byte_bpe, common, language_id, line_dedup, minhash_dedup, mixing
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +29,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
-    return minhash_dedup.keep_first(docs)
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
+
+    The texts that documents came in with are linked, too: the line stage leaves copies only
+    what they do not share with the first, by which alone no one could tell that they are copies.
+    """
+    return minhash_dedup.keep_first(docs, before=common.documents(spark, sf_dir))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,17 +59,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names (in /tmp only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _folder(spark)
+    """All stages; a stage's table is deleted when the next one's is written."""
+    docs, before = common.documents(spark, sf_dir), None
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            common.discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

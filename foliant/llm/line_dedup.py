@@ -174,7 +174,7 @@ def _prefixes(words: tuple[np.ndarray, ...], ids: np.ndarray, counts: np.ndarray
     at, n = runs_of(row)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return {c: none.astype(t) for c, t in POSTING.items()} | {"s1": none.astype(np.uint64), "s2": none.astype(np.uint64)}, {c: none for c in ("line", "key", "pos", "slices")}
+        return {c: none.astype(t) for c, t in POSTING.items()} | {"s1": none.astype(np.uint64), "s2": none.astype(np.uint64)}, {c: none for c in ("line", "pos", "slices")} | {"key": none.astype(np.uint64)}
     half, bit = (h >> _U(6)) & _U(1) == 0, _U(1) << (h & _U(63))
     s1, s2 = np.add.reduceat(mix(h), at), np.bitwise_xor.reduceat(mix(h + _U(0x632BE59BD9B4E019)), at)
     lines = {"n": n, "s1": s1, "s2": s2, "s": (s2 >> _U(32)).astype(np.uint32), "d": ids[doc[at]], "l": number[at]}

@@ -7,12 +7,19 @@ them pass, and ``fail_fast`` raises at the first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import asyncio
+from collections.abc import AsyncIterator, Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import parse_pages
 from foliant.operators import chunking, emit
+from foliant.operators.model import Layers, projected
+
+T = TypeVar("T")
 
 
 def document_text(blocks: DataFrame, joiner: str = "\n\n") -> DataFrame:
@@ -34,10 +41,18 @@ class Corpus:
         self.docs = docs
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str | list[str], most_bytes: int | None = None) -> Corpus:
+    def read(cls, spark: SparkSession, path: str | list[str], most_bytes: int | None = None, pages: str | None = None, layers: Layers | None = None) -> Corpus:
         from foliant.sources.scan import scan
 
-        return cls(scan(spark, path, most_bytes))
+        return cls(scan(spark, path, most_bytes, pages, layers))
+
+    def with_config(self, pages: str | None = None, layers: Layers | None = None) -> Corpus:
+        """The same documents with fewer pages (a range like "1,3,5-10") or layers; blocks without a page stay."""
+        docs = self.docs
+        if pages is not None:
+            wanted = parse_pages(pages)
+            docs = docs.withColumn("blocks", F.filter("blocks", lambda b: b["page"].isNull() | b["page"].isin(wanted)))
+        return Corpus(projected(docs, layers) if layers else docs)
 
     # projections ------------------------------------------------------------
 
@@ -86,22 +101,47 @@ class Corpus:
 
     # filters ----------------------------------------------------------------
 
-    def filter(self, test: Column | Callable[[Row], bool]) -> Corpus:
-        """Documents for which ``test`` holds, and all failures; a Python test that raises counts as false."""
+    def filter(self, test: Column | Callable[[Row], bool], columns: list[str] | None = None) -> Corpus:
+        """Documents for which ``test`` holds, and all failures; a Python test that raises counts as false.
+
+        A Python test gets its rows in Arrow batches, with all columns or those named.
+        """
         if isinstance(test, Column):
             keep = F.coalesce(test, F.lit(False))
         else:
 
-            @F.udf("boolean")
+            @F.udf("boolean", useArrow=True)
             def safe(row: Row) -> bool:
                 try:
                     return bool(test(row))
                 except Exception:  # noqa: BLE001  a test that fails is false
                     return False
 
-            keep = safe(F.struct(*self.docs.columns))
+            keep = safe(F.struct(*(columns or self.docs.columns)))
         return Corpus(self.docs.where(F.col("error").isNotNull() | keep))
 
+    def submit(self, action: Callable[[Corpus], T]) -> Future[T]:
+        """Runs an action (a count, a write) beside the caller; Spark takes jobs from several threads at once."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(action, self)
+        finally:
+            pool.shutdown(wait=False)
+
+    async def stream(self) -> AsyncIterator[Row]:
+        """Documents in path order for an event loop, which is not blocked while rows are fetched."""
+        loop, rows = asyncio.get_running_loop(), iter(self)
+        while (row := await loop.run_in_executor(None, next, rows, None)) is not None:
+            yield row
+
+    def on_warnings(self, call: Callable[[Row], None]) -> int:
+        """Calls a function for each warning, document by document; returns how many there were."""
+        n = 0
+        for row in self.warnings().toLocalIterator():
+            call(row)
+            n += 1
+        return n
+
     def parallel(self, n: int) -> Corpus:
         return Corpus(self.docs.repartition(n))
 

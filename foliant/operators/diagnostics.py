@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import error_code, n_words, severity
@@ -19,6 +19,13 @@ def capped(warnings: DataFrame, cap: int = 1000) -> DataFrame:
     return kept.unionByName(sentinel)
 
 
+def tee(warnings: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The warnings, and an observation of their counts by level that is filled by whatever action runs on them."""
+    seen = Observation(name)
+    level = lambda x: F.count_if(F.col("level") == x).alias(x)
+    return warnings.observe(seen, F.count(F.lit(1)).alias("n"), level("info"), level("warning"), level("error")), seen
+
+
 def distinct_messages(warnings: DataFrame, with_info: bool = False) -> DataFrame:
     """The first of each (document, level, kind, message); info rows only if asked for."""
     rows = warnings if with_info else warnings.where("level <> 'info'")

@@ -19,6 +19,10 @@ WORD_BREAK_MIN = 0.15
 ACTIVE_LINES = 5
 COHERENCE_MIN = 0.75
 ROTATED_ABOVE = 5.0
+FULL_WIDTH_SPANS = 1.3
+FULL_WIDTH_SHARE = 0.5
+FULL_WIDTH_FEW = 0.8
+GUTTER = 15.0
 
 
 def upper_median(values: Column) -> Column:
@@ -196,6 +200,46 @@ def spans_box(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "page").agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max(F.col("x") + F.col("width")).alias("x_max"), F.max(F.col("y") + F.col("font_size")).alias("y_max"))
 
 
+def full_width(spans: DataFrame) -> DataFrame:
+    """The lines (column ``line``) of pages of three spans or more, and whether each is a full-width one.
+
+    A full-width line is wider than half the content and 1.3 times the median span, and its
+    left edges have no gap that stands out, as between two columns.
+    """
+    spans = spans.withColumn("_w", F.greatest("width", F.lit(0.0)))
+    edge = F.col("x") + F.col("_w")
+    widths = F.collect_list(F.when(F.col("_w") > 0, F.col("_w")))
+    page = spans.groupBy("doc_id", "page").agg(F.count("*").alias("n"), (F.max(edge) - F.min("x")).alias("content"), widths.alias("widths"))
+    cutoff = F.when(F.size("widths") >= 3, F.greatest(FULL_WIDTH_SPANS * upper_median(F.col("widths")), FULL_WIDTH_SHARE * F.col("content"))).otherwise(FULL_WIDTH_FEW * F.col("content"))
+    page = page.where("n >= 3 and content > 0").select("doc_id", "page", cutoff.alias("cutoff"))
+    lines = spans.groupBy("doc_id", "page", "line").agg(F.max("y").alias("y"), (F.max(edge) - F.min("x")).alias("extent"), F.array_sort(F.collect_list("x")).alias("xs"))
+    gaps = F.zip_with(F.slice("xs", F.lit(2), F.size("xs")), F.slice("xs", F.lit(1), F.size("xs") - 1), lambda b, a: b - a)
+    lines = lines.withColumn("gaps", F.when(F.size("xs") > 1, gaps).otherwise(F.array().cast("array<double>")))
+    top = F.array_max("gaps")
+    apart = (F.size("gaps") > 0) & (top > GUTTER) & ((F.size("gaps") <= 2) | (top > 3 * upper_median(F.col("gaps"))))
+    return lines.join(page, ["doc_id", "page"]).select("doc_id", "page", "line", "y", ((F.col("extent") > F.col("cutoff")) & ~F.coalesce(apart, F.lit(False))).alias("full_width"))
+
+
+def reinserted(main: DataFrame, masked: DataFrame) -> DataFrame:
+    """Places of ordered lines (doc_id, page, y, pos) and of full-width lines among them: each before the first line that is not above it.
+
+    The lines keep their order, which need not run down the page.
+    """
+    key = ["doc_id", "page"]
+    ends = main.groupBy(*key).agg(F.max("pos").alias("last"))
+    below = main.select(*key, F.col("y").alias("_y"), "pos")
+    found = masked.join(below, key, "left").groupBy(*key, "y").agg(F.min(F.when(F.col("_y") <= F.col("y"), F.col("pos"))).alias("pos"))
+    found = found.join(ends, key, "left").select(*key, "y", F.coalesce("pos", F.col("last") + 1, F.lit(0)).alias("pos"), F.lit(0).alias("own"))
+    rows = found.unionByName(main.select(*key, "y", "pos", F.lit(1).alias("own")))
+    order = Window.partitionBy(*key).orderBy("pos", "own", F.desc("y"))
+    return rows.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+
+
+def tiers(spans: DataFrame, threshold: float = COHERENCE_MIN) -> DataFrame:
+    """One row for each page: its coherence, and whether its lines come in stream order (1) or from cuts (2)."""
+    return coherence(spans).withColumn("tier", F.when(F.col("coherence") > threshold, 1).otherwise(2))
+
+
 def columns_cut(spans: DataFrame, least: float = 15.0, support: float = 0.3) -> DataFrame:
     """The best vertical cut of each page: the widest gap between left edges that baselines on both sides support.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.geometry import area, containment, iou
 from foliant.operators.folds import fold
+from foliant.operators.layout import upper_median
 
 #: Tolerances in points and thresholds of filters. Fixed values.
 SNAP = 3.0
@@ -231,3 +232,27 @@ def boxed(cells: DataFrame) -> DataFrame:
     """One row for each table with its box as ``b``."""
     b = F.struct(F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
     return cells.groupBy("doc_id", "page", "table_id").agg(b.alias("b")).withColumn("area", area(F.col("b")))
+
+
+def split_rows(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of tables (doc_id, page, table_id, row and a box) that hold several baselines, split between them.
+
+    Spans count whose x-centre and baseline are in the row's closed box; baselines further
+    apart than 0.6 median sizes, and 2 points at least, are rows of their own, with borders
+    midway between their means. Rows of mostly rotated text are not split.
+    """
+    key = ["doc_id", "page", "table_id", "row"]
+    rotation = F.abs(F.col("rotation")) > 45 if "rotation" in spans.columns else F.lit(False)
+    marks = spans.where(F.trim("text") != "").select("doc_id", "page", (F.col("x") + F.col("width") / 2).alias("_cx"), F.col("y").alias("_y"), "font_size", rotation.alias("_turned"))
+    inside = F.col("_cx").between(F.col("x_min"), F.col("x_max")) & F.col("_y").between(F.col("y_min"), F.col("y_max"))
+    hits = rows.join(marks, ["doc_id", "page"]).where(inside)
+    sizes = hits.groupBy(*key).agg(upper_median(F.collect_list("font_size")).alias("_size"), F.avg(F.col("_turned").cast("int")).alias("_share"))
+    hits = hits.join(sizes.where("_share <= 0.5"), key)
+    down = Window.partitionBy(*key).orderBy(F.desc("_y"))
+    apart = F.lag("_y").over(down) - F.col("_y") > F.greatest(0.6 * F.col("_size"), F.lit(2.0))
+    groups = hits.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("sub", F.sum("_new").over(down.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
+    groups = groups.groupBy(*key, "sub").agg(F.avg("_y").alias("_mean"))
+    place = Window.partitionBy(*key).orderBy("sub")
+    groups = groups.withColumns({"_up": (F.lag("_mean").over(place) + F.col("_mean")) / 2, "_low": (F.lead("_mean").over(place) + F.col("_mean")) / 2})
+    out = rows.join(groups.drop("_mean"), key, "left")
+    return out.select(*key, F.coalesce("sub", F.lit(0)).alias("sub"), "x_min", F.coalesce("_low", "y_min").alias("y_min"), "x_max", F.coalesce("_up", "y_max").alias("y_max"))

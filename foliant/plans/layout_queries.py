@@ -48,7 +48,11 @@ def baseline_clusters(spark, sf_dir):
     return layout.baseline_lines(word_spans(spark, sf_dir)).groupBy("doc_id", "page", "line").agg(F.count("*").alias("n_spans"), F.max("y").alias("y"))
 
 
-@query("stream_lines")
+@query(
+    "stream_lines",
+    f"""WITH {WORD_SPANS}, g AS (SELECT doc_id, page, y, count(*) AS n_spans, min(span_idx) AS k FROM spans GROUP BY doc_id, page, y)
+    SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY k) - 1)::INT AS line, n_spans, y FROM g""",
+)
 def stream_lines(spark, sf_dir):
     return layout.stream_lines(word_spans(spark, sf_dir)).groupBy("doc_id", "page", "line").agg(F.count("*").alias("n_spans"), F.max("y").alias("y"))
 
@@ -239,14 +243,52 @@ def emit_json_lines(spark, sf_dir):
 # ---------------------------------------------------------------- folds without SQL
 
 
-@query("page_order")
+_COHERENCE = """med AS (SELECT doc_id, page, list_sort(list(font_size))[(count(*) // 2 + 1)::INT] AS size FROM {0} GROUP BY doc_id, page),
+    cx AS (SELECT s.*, s.x + greatest(s.width, 0) / 2 AS cx, size FROM {0} s JOIN med ON med.doc_id = s.doc_id AND med.page = s.page),
+    isl AS (SELECT *, sum(CASE WHEN cx - before > 2 * size THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY cx, span_idx) AS island FROM (SELECT *, lag(cx) OVER (PARTITION BY doc_id, page ORDER BY cx, span_idx) AS before FROM cx)),
+    dn AS (SELECT *, lag(y) OVER (PARTITION BY doc_id, page, island ORDER BY span_idx) AS up FROM isl),
+    sc AS (SELECT doc_id, page, island, count(*) AS n, coalesce(sum(CASE WHEN y <= up THEN 1.0::DOUBLE ELSE 0 END) FILTER (up IS NOT NULL) / count(up), 1.0) AS score FROM dn GROUP BY doc_id, page, island),
+    coh AS (SELECT doc_id, page, sum(score * n) / sum(n) AS coherence FROM sc GROUP BY doc_id, page)"""
+
+
+def _shuffled(spark, sf_dir):
+    """Pages of two columns whose spans come in no order."""
+    spans = word_spans(spark, sf_dir).where("doc_id % 4 = 0 and span_idx < 100003")
+    return spans.withColumns({"x": F.when(F.col("x") >= 650, F.col("x") + 100).otherwise(F.col("x")), "span_idx": (F.col("span_idx").cast("long") * 7919 % 100003).cast("int")})
+
+
+@query(
+    "column_order",
+    f"""WITH {WORD_SPANS}, sh AS (SELECT doc_id, page, (span_idx::BIGINT * 7919 % 100003)::INT AS span_idx, text, CASE WHEN x >= 650 THEN x + 100 ELSE x END AS x, y, width, font_size FROM spans WHERE doc_id % 4 = 0 AND span_idx < 100003),
+    {_COHERENCE.format("sh")},
+    st AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT y) AS n_rows, count(DISTINCT CASE WHEN x < 700 THEN y END) AS l_rows, count(DISTINCT CASE WHEN x >= 700 THEN y END) AS r_rows, count(*) FILTER (x < 700) AS l_words, count(*) FILTER (x >= 700) AS r_words FROM sh GROUP BY doc_id, page),
+    k AS (SELECT st.doc_id, st.page, coherence, n >= 4 AND r_rows > 0 AND r_rows >= 0.3 * n_rows AND l_words >= 4 * l_rows AND r_words >= 4 * r_rows AS cut FROM st JOIN coh ON coh.doc_id = st.doc_id AND coh.page = st.page),
+    o AS (SELECT sh.doc_id, sh.page, span_idx, coherence, CASE WHEN coherence <= 0.75 AND cut AND x >= 700 THEN 1 ELSE 0 END AS part, x, y FROM sh JOIN k ON k.doc_id = sh.doc_id AND k.page = sh.page)
+    SELECT doc_id, page, span_idx, part, CASE WHEN coherence > 0.75 THEN span_idx ELSE row_number() OVER (PARTITION BY doc_id, page ORDER BY part, y DESC, x, span_idx) - 1 END::INT AS rank FROM o""",
+)
+def column_order(spark, sf_dir):
+    """Left column first, then the right one, where stream order says nothing."""
+    from foliant.operators.reading import page_order
+
+    return page_order(_shuffled(spark, sf_dir))
+
+
+@query("page_order", f"""WITH {WORD_SPANS}, {_COHERENCE.format("spans")} SELECT s.doc_id, s.page, span_idx, 0 AS part, span_idx AS rank FROM spans s JOIN coh ON coh.doc_id = s.doc_id AND coh.page = s.page WHERE coherence > 0.75""")
 def page_order(spark, sf_dir):
     from foliant.operators.reading import page_order
 
     return page_order(word_spans(spark, sf_dir))
 
 
-@query("text_tables")
+@query(
+    "text_tables",
+    f"""WITH {WORD_SPANS}, p AS (SELECT doc_id, page, list_sort(list(font_size))[(count(*) // 2 + 1)::INT] AS size, count(DISTINCT y) AS n_rows, max(x + width) AS edge FROM spans GROUP BY doc_id, page),
+    r AS (SELECT doc_id, page, y, count(*) AS k, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) - 1 AS row FROM spans GROUP BY doc_id, page, y),
+    c AS (SELECT *, row_number() OVER w - 1 AS col, lead(x) OVER w AS next FROM (SELECT s.doc_id, s.page, x FROM spans s JOIN p ON p.doc_id = s.doc_id AND p.page = s.page GROUP BY s.doc_id, s.page, x, n_rows HAVING count(*) >= greatest(2, n_rows // 2)) WINDOW w AS (PARTITION BY doc_id, page ORDER BY x)),
+    t AS (SELECT p.doc_id, p.page, size, edge FROM p WHERE n_rows >= 3 AND (SELECT count(*) FROM c WHERE c.doc_id = p.doc_id AND c.page = p.page) >= 2 AND (SELECT count(*) FROM r WHERE r.doc_id = p.doc_id AND r.page = p.page AND k >= 2) >= 0.4 * n_rows)
+    SELECT t.doc_id, t.page, 0 AS table_id, r.row::INT AS row, c.col::INT AS col, coalesce(s.text, '') AS text, c.x AS x_min, r.y - 0.5 * size AS y_min, coalesce(c.next, edge) AS x_max, r.y + size AS y_max
+    FROM t JOIN r ON r.doc_id = t.doc_id AND r.page = t.page JOIN c ON c.doc_id = t.doc_id AND c.page = t.page LEFT JOIN spans s ON s.doc_id = t.doc_id AND s.page = t.page AND s.y = r.y AND s.x = c.x""",
+)
 def text_tables(spark, sf_dir):
     from foliant.operators.reading import text_tables
 

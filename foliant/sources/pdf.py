@@ -465,9 +465,15 @@ def page_spans(pdf: PdfFile, page: dict) -> list[tuple]:
     return out
 
 
-def spans(data: bytes) -> list[tuple]:
-    """All spans of a file as rows of SPANS."""
+def spans_and_pages(data: bytes, pages: frozenset[int] | None = None) -> tuple[list[tuple], int]:
+    """Spans of a file as rows of SPANS, and its number of pages; only the content of ``pages`` (from 0) is decoded, if given."""
     pdf = PdfFile(data)
     if pdf.encrypted:
         raise ValueError("document is encrypted")
-    return [(p, i, *s) for p, page in enumerate(pdf.pages()) for i, s in enumerate(page_spans(pdf, page))]
+    found = pdf.pages()
+    return [(p, i, *s) for p, page in enumerate(found) if pages is None or p in pages for i, s in enumerate(page_spans(pdf, page))], len(found)
+
+
+def spans(data: bytes) -> list[tuple]:
+    """All spans of a file as rows of SPANS."""
+    return spans_and_pages(data)[0]

@@ -13,15 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import parse_pages
 from foliant.operators import layout
+from foliant.operators.model import Layers
 from foliant.sources import detect, legacy, markdown, odf, ooxml, pdf, rtf
 from foliant.sources.model import DOCUMENT, Parsed
 
 
-def _pdf(data: bytes) -> Parsed:
+def _pdf(data: bytes, wanted: frozenset[int] | None = None) -> Parsed:
     """Lines of a PDF as paragraphs, by baseline and x; the DataFrame path is ``pdf_spans`` and ``layout``."""
     out = Parsed()
-    rows = pdf.spans(data)
+    rows, out.page_count = pdf.spans_and_pages(data, wanted)
     pages: dict[int, list] = {}
     for r in rows:
         if not r[8]:
@@ -40,43 +42,54 @@ def _pdf(data: bytes) -> Parsed:
                 end = r[3] + r[5]
             if text.strip():
                 out.add("paragraph", text.strip(), page=page)
-    out.page_count = len(pdf.PdfFile(data).pages())
     return out
 
 
 PARSERS = {"PDF": _pdf, "DOCX": ooxml.docx, "XLSX": ooxml.xlsx, "PPTX": ooxml.pptx, "DOC": legacy.doc, "XLS": legacy.xls, "PPT": legacy.ppt, "ODT": odf.odf, "ODS": odf.odf, "ODP": odf.odf, "RTF": rtf.rtf, "MD": markdown.parse}
 
 
-def parse_bytes(data: bytes, fmt: str | None) -> Parsed:
-    """One document from memory; ``fmt`` as ``detect`` names it."""
+def parse_bytes(data: bytes, fmt: str | None, pages: frozenset[int] | None = None, kinds_out: tuple[str, ...] = ()) -> Parsed:
+    """One document from memory; ``fmt`` as ``detect`` names it.
+
+    ``pages`` (from 0): blocks of other pages are left out, and those pages of a PDF are not
+    decoded; blocks without a page stay. Blocks of ``kinds_out`` are left out.
+    """
     if fmt not in PARSERS:
         raise ValueError("unable to detect format")
-    return PARSERS[fmt](data)
+    out = _pdf(data, pages) if fmt == "PDF" else PARSERS[fmt](data)
+    if pages is not None or kinds_out:
+        out.blocks = [b for b in out.blocks if b["kind"] not in kinds_out and (pages is None or b["page"] is None or b["page"] in pages)]
+    return out
+
 
+def scan_bytes(rows: DataFrame, pages: str | None = None, layers: Layers | None = None) -> DataFrame:
+    """(doc_id, path, content) -> parsed documents. Small batches keep few large files in memory at once.
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for doc_id, path, fmt, content in zip(frame["doc_id"], frame["path"], frame["format"], frame["content"], strict=True):
-            data, error, parsed = bytes(content) if content is not None else b"", None, Parsed()
-            try:
-                parsed = parse_bytes(data, fmt)
-            except Exception as e:  # noqa: BLE001  any failure of a parser is that file's error
-                error = f"{type(e).__name__}: {e}"
-            rows.append((doc_id, path, fmt, len(data), parsed.page_count, parsed.blocks, parsed.metadata, parsed.warnings, parsed.is_encrypted or "encrypted" in (error or ""), error))
-        yield pd.DataFrame(rows, columns=["doc_id", "path", "format", "byte_len", "page_count", "blocks", "metadata", "warnings", "is_encrypted", "error"])
+    ``pages`` is a page range like "1,3,5-10"; pages and layers are left out before blocks leave the parser.
+    """
+    wanted = None if pages is None else frozenset(parse_pages(pages))
+    kinds_out = layers.kinds_left_out if layers else ()
 
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            done = []
+            for doc_id, path, fmt, content in zip(frame["doc_id"], frame["path"], frame["format"], frame["content"], strict=True):
+                data, error, parsed = bytes(content) if content is not None else b"", None, Parsed()
+                try:
+                    parsed = parse_bytes(data, fmt, wanted, kinds_out)
+                except Exception as e:  # noqa: BLE001  any failure of a parser is that file's error
+                    error = f"{type(e).__name__}: {e}"
+                done.append((doc_id, path, fmt, len(data), parsed.page_count, parsed.blocks, parsed.metadata, parsed.warnings, parsed.is_encrypted or "encrypted" in (error or ""), error))
+            yield pd.DataFrame(done, columns=["doc_id", "path", "format", "byte_len", "page_count", "blocks", "metadata", "warnings", "is_encrypted", "error"])
 
-def scan_bytes(rows: DataFrame) -> DataFrame:
-    """(doc_id, path, content) -> parsed documents. Small batches keep few large files in memory at once."""
     known = rows.withColumn("format", detect.detect(F.col("path"), F.col("content")))
-    return known.select("doc_id", "path", "format", "content").mapInPandas(_parse, DOCUMENT)
+    return known.select("doc_id", "path", "format", "content").mapInPandas(parse, DOCUMENT)
 
 
-def scan(spark: SparkSession, path: str | list[str], most_bytes: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], most_bytes: int | None = None, pages: str | None = None, layers: Layers | None = None) -> DataFrame:
     """Files of a folder tree as parsed documents; the id is a hash of the path."""
     files = detect.scan_files(spark, path, most_bytes)
-    return scan_bytes(files.select(F.xxhash64("path").alias("doc_id"), "path", "content"))
+    return scan_bytes(files.select(F.xxhash64("path").alias("doc_id"), "path", "content"), pages, layers)
 
 
 def pdf_spans(rows: DataFrame) -> DataFrame:

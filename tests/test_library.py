@@ -222,3 +222,43 @@ def test_registry_matches_oracles(spark, sf):
     assert entry.entry(spark).count() > 0
     row = json.loads(emit.document_json(queries and spark.createDataFrame([(1, 0, "paragraph", None, "x", None)], "doc_id long, ord int, kind string, level int, text string, page int")).first().json)
     assert row["version"] == 1
+
+
+def test_corpus_configuration_and_callbacks(spark):
+    import asyncio
+
+    from foliant.operators.model import Layers
+    from foliant.plans import files
+
+    lines = [f"line number {i} of the text" for i in range(100)]
+    rows = [(1, "a.bin", bytearray(files.pdf(lines, "t"))), (2, "b.bin", bytearray(files.docx(lines, "t")))]
+    data = spark.createDataFrame(rows, "doc_id long, path string, content binary")
+    whole = Corpus(scan_bytes(data))
+    early, late = Corpus(scan_bytes(data, pages="2", layers=Layers.batch())), whole.with_config(pages="2", layers=Layers.batch())
+    shown = lambda c: sorted((r.doc_id, r.kind, r.text) for r in c.blocks().collect())
+    assert shown(early) == shown(late) and early.docs.where("doc_id = 1").first().page_count == 3
+    assert {r.kind for r in late.blocks().collect()} == {"paragraph", "list_item", "table", "header"}
+    assert whole.submit(lambda c: c.count()).result() == 2
+
+    async def paths():
+        return [row.path async for row in whole.stream()]
+
+    assert asyncio.run(paths()) == ["a.bin", "b.bin"]
+    assert whole.filter(lambda r: r.page_count == 3, columns=["page_count"]).count() == 1
+    seen = []
+    assert whole.on_warnings(seen.append) == len(seen)
+    warnings = spark.createDataFrame([(1, "info"), (1, "error"), (2, "error")], "doc_id long, level string")
+    same, counts = diagnostics.tee(warnings, "levels")
+    assert same.count() == 3 and counts.get == {"n": 3, "info": 1, "warning": 0, "error": 2}
+
+
+def test_model_operations(spark):
+    from foliant.operators import model
+
+    styles = spark.createDataFrame([("a", None, True), ("b", "a", None), ("c", "b", None), ("d", "c", False), ("x", "y", None), ("y", "x", None)], "style_id string, parent string, bold boolean")
+    assert {r.style_id: r.bold for r in model.inherited(styles, "bold").collect()} == {"a": True, "b": True, "c": True, "d": False, "x": None, "y": None}
+    sizes = spark.createDataFrame([("12pt",), (" 1.5in ",), ("2 cm",), ("10mm",), ("7",), ("ptpt",), (None,), ("-3pt",)], "v string")
+    assert [r.p if r.p is None else round(r.p, 4) for r in sizes.select(model.length_points(F.col("v")).alias("p")).collect()] == [12.0, 108.0, None, 28.3465, None, None, None, -3.0]
+    assert model.page_bundles(spark.createDataFrame([], "doc_id long, ord int, kind string, text string, page int")).count() == 0
+    names = {r.name: r for r in model.features(spark).collect()}
+    assert names["scan-pdf"].enabled and names["library-numpy"].kind == "build"

@@ -40,5 +40,5 @@ def test_size_limit_is_pushed_down(spark, tmp_path):
 
 def test_every_query_has_its_sql_columns(spark, sf):
     oracles = registry.oracle_sql()
-    assert {"stream_lines", "lattice_cells", "parsed_documents", "page_order", "text_tables"} >= set(registry.queries()) - set(oracles)
+    assert {"lattice_cells", "parsed_documents", "feature_report"} >= set(registry.queries()) - set(oracles)
     assert registry.queries()["page_text"](spark, sf).where(F.col("n_lines") < 1).count() == 0

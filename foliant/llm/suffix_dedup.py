@@ -15,11 +15,10 @@ merged by Spark: by (anchor, content) for whole runs, and where an anchor occurs
 different contents, by the single windows of one run of each content.
 
 Runs that match as a whole need no bytes beyond their hash. For the rest the windows are
-hashed and counted, after a combination in each task, or as rows of their own where an anchor
-has many contexts. Groups of copies therefore cost one entry for each task, and windows inside
-copies are never listed. Equality is that of 128 bits, 64 of the anchor and 64 of the content.
-What is hashed is shorter than 512 bytes, below the length at which patterns collide under a
-polynomial modulo 2 ** 64.
+hashed (64 bits of content) and counted, after a combination in each task. Groups of copies
+therefore cost one entry for each task, and windows inside copies are never listed. Equality is
+that of 128 bits, 64 of the anchor (or block) and 64 of the content; what is hashed is shorter than 512
+bytes, below the length at which patterns collide under a polynomial modulo 2 ** 64.
 
 Defined results: null and empty texts have 0 bytes; texts under LENGTH bytes lose nothing;
 repeated rows, and rows with equal doc_ids, count as different places; strings are judged
@@ -42,8 +41,9 @@ from foliant.llm.common import Rolling, as_long, discard, documents, mix, stored
 
 LENGTH = 200
 GRAM = 32
-#: The windows of anchors with more different contexts than HOT are counted one by one.
+#: Anchors with more different contexts than HOT are dealt out by blocks of BLOCK windows and the bytes that a block's windows share.
 HOT = 64
+BLOCK = 16
 
 _U = np.uint64
 _PLACE = _U((1 << 22) - 1)
@@ -204,43 +204,58 @@ def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ENTRIES)
 
 
-CONTEXTS = "hot boolean, key long, window long, row long, at int, n int, bytes binary"
+CONTEXTS = "key long, row long, at int, n int, bytes binary"
 SPANS = "row long, at int, n int"
 
 
+def _context_rows(data: np.ndarray, off: np.ndarray, which: np.ndarray, reps: list, length: int) -> tuple[list, ...]:
+    """For each run (anchor, at, n, back, hot) of each document: the bytes of its windows under the key that equal windows share."""
+    rolling = None
+    key, doc, at_, n_, raw = [], [], [], [], []
+    for i, runs in zip(which, reps, strict=True):
+        base = off[i]
+        for r in runs:
+            anchor, at, n, back = r["anchor"], r["at"], r["n"], r["back"]
+            if not r["hot"]:
+                key.append(anchor)
+                doc.append(i)
+                at_.append(at)
+                n_.append(n)
+                raw.append(data[base + at : base + at + n - 1 + length].tobytes())
+                continue
+            if rolling is None:
+                rolling = Rolling(data)
+            place = at + back
+            # window s belongs to block (place - s) // BLOCK; all windows of block b share the bytes from
+            # place - b * BLOCK to place - b * BLOCK - (BLOCK - 1) + length
+            for b in range((back - n + 1) // BLOCK, back // BLOCK + 1):
+                low, high = max(at, place - b * BLOCK - BLOCK + 1), min(at + n - 1, place - b * BLOCK)
+                core = rolling.ranges(np.array([base + place - b * BLOCK]), np.array([base + place - b * BLOCK - BLOCK + 1 + length]))
+                key.append(int(as_long(core)[0]))
+                doc.append(i)
+                at_.append(low)
+                n_.append(high - low + 1)
+                raw.append(data[base + low : base + high + length].tobytes())
+    return key, doc, at_, n_, raw
+
+
 def contexts(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """The runs that occur with other content around the same anchor elsewhere: their bytes, or for hot anchors a row for each window with its hash."""
+    """Bytes of the runs that occur with other content around the same anchor elsewhere."""
     by_row = reps.groupBy("row").agg(F.collect_list(F.struct("anchor", "at", "n", "back", "hot")).alias("runs"))
     # equal rows have one id; their texts are equal, so either serves
     both = docs.join(by_row, "row").select("row", "text", "runs").dropDuplicates(["row"])
-    names = [f.split()[0] for f in CONTEXTS.split(", ")]
-
-    def batch_of(hot: bool, key, window, row, at, n, raw) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([hot] * len(row)), *[pa.array(x, k) for x, k in zip((key, window, row, at, n, raw), kinds, strict=True)]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in text_batches(batches):
-            ids, rolling = part.column("row").to_pylist(), None
-            cold: list[tuple] = []
-            for i, runs in enumerate(part.column("runs").to_pylist()):
-                base = off[i]
-                for r in runs:
-                    anchor, at, n = r["anchor"], r["at"], r["n"]
-                    if not r["hot"]:
-                        cold.append((anchor, 0, ids[i], at, n, data[base + at : base + at + n - 1 + length].tobytes()))
-                        continue
-                    rolling = Rolling(data) if rolling is None else rolling
-                    place = at + np.arange(n)
-                    yield batch_of(True, [anchor] * n, as_long(rolling.ranges(base + place, base + place + length)), [ids[i]] * n, place.astype(np.int32), np.ones(n, np.int32), [b""] * n)
-            if cold:
-                yield batch_of(False, *zip(*cold, strict=True))
+            key, doc, at, n, raw = _context_rows(data, off, np.arange(part.num_rows), part.column("runs").to_pylist(), length)
+            row = part.column("row").to_numpy(zero_copy_only=False)[np.array(doc, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(row), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], [f.split()[0] for f in CONTEXTS.split(", ")])
 
     return both.mapInArrow(run, CONTEXTS)
 
 
 def matched_windows(ctx: DataFrame, length: int) -> DataFrame:
-    """Spans of windows that are found twice or more among the contexts of a key, of which it has HOT at most: an index of levels in each task."""
+    """Spans of windows that are found twice or more among the contexts of a key: an index of levels in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held, total = LogIndex(), [], 0
@@ -299,11 +314,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     contents = kinds.groupBy("anchor").agg(F.count("*").alias("nd")).where("nd > 1")
     reps = met.where("differ").join(kinds.select("anchor", "content", "rep"), ["anchor", "content"]).where("row = rep.row and at = rep.at")
     reps = reps.join(contents, "anchor").select("row", "anchor", "at", "n", "back", (F.col("nd") > HOT).alias("hot"))
-    around = stored(contexts(docs, reps, length))
-    # the windows of hot anchors are told by anchor and hash, wherever they are: no task has all of an anchor
-    hot = around.where("hot").select("key", "window", "row", "at", "n")
-    again = hot.groupBy("key", "window").agg(F.count("*").alias("k")).where("k > 1")
-    windows = stored(matched_windows(around.where("not hot"), length).unionByName(hot.join(again, ["key", "window"], "left_semi").select("row", "at", "n")))
+    windows = stored(matched_windows(contexts(docs, reps, length), length))
     return spans.unionByName(whole.select("row", "at", "n")).unionByName(windows)
 
 

@@ -51,7 +51,7 @@ PARTS = (16, 1024)
 HOT = 1 << 16
 SLICE = 1 << 20
 #: Candidates of a line, earliest first, that are verified by each turn; the last turn takes all.
-TURNS = (3, 48, None)
+TURNS = (8, None)
 #: Postings that a task holds before it sends them, those of a packed row, and those meant for a task that joins.
 HELD = 1 << 20
 PACKED = 1 << 11
@@ -63,6 +63,8 @@ FILTER_BITS = 22
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 80, 100
 
+_LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
+
 _U = np.uint64
 
 
@@ -482,8 +484,26 @@ def line_report(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den, "gone").mapInArrow(run, REPORT)
 
 
-def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The documents with their later matching lines cut; those that lose their last word by it go.
+def remnant(text: str, gone: list[int] | None, least: float) -> bool:
+    """Whether a cut leaves no word, or less than ``least`` of the words that count.
+
+    The words of kept lines count, and those of cut lines, each set of words once and not if a
+    kept line has it: lines that a text repeats itself do not make what is left a remnant.
+    """
+    lost = set(gone or ())
+    kept, cut, sets = 0, {}, set()
+    for i, line in enumerate(text.encode().split(b"\n")):
+        words = line.translate(_LOWER).split()
+        if i in lost:
+            cut[frozenset(words)] = len(words)
+        elif words:
+            kept += len(words)
+            sets.add(frozenset(words))
+    return bool(cut) and kept <= least * (kept + sum(n for x, n in cut.items() if x not in sets))
+
+
+def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN, least: float = 0.0) -> DataFrame:
+    """The documents with their later matching lines cut; remnants go: those that lose their last word by it, or keep no more than ``least`` of their words (see ``remnant``).
 
     Columns are those of ``docs``; n_chars, if there, is that of the new text.
     """
@@ -498,7 +518,7 @@ def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> Data
                 for t, gone in zip(part.column(text).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
                     cut, _, lost = (None, 0, 0) if t is None else _cut(t, gone)
                     texts.append(t if not lost else cut.decode())
-                    good.append(not lost or bool(cut.split()))
+                    good.append(not lost or not remnant(t, gone, least))
                 cols = [pa.array(texts, c.type) if i == text else c for i, c in enumerate(part.columns[: len(columns)])]
                 yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(good))
 

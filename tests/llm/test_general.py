@@ -337,11 +337,20 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     docs = common.documents(spark, str(tmp_path))
     cut = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
-    cut.write.parquet(f"{tmp_path}/cut")
-    cut = spark.read.parquet(f"{tmp_path}/cut")
-    assert cut.count() == 2 * n
-    kept = [r.doc_id for r in corpus_pipeline.dedup_documents(spark, cut, str(tmp_path)).collect()]
-    assert sorted(kept) == list(range(n))
+    assert sorted(r.doc_id for r in cut.collect()) == list(range(n))
+    whole = line_dedup.without_later_lines(docs)
+    whole.write.parquet(f"{tmp_path}/cut")
+    whole = spark.read.parquet(f"{tmp_path}/cut")
+    assert whole.count() == 2 * n
+    assert sorted(r.doc_id for r in minhash_dedup.keep_first(whole, before=docs).collect()) == list(range(n))
+
+
+def test_remnants():
+    text = "One two three\nfour five six seven\neight\none TWO three\n\neight"
+    assert not line_dedup.remnant(text, None, 0.2) and not line_dedup.remnant(text, [3, 5], 0.2)
+    assert line_dedup.remnant(text, [0, 1, 2, 3, 5], 0.0)
+    assert line_dedup.remnant(text, [0, 1, 3, 5], 0.2) and not line_dedup.remnant(text, [0, 1, 3, 5], 0.1)
+    assert not line_dedup.remnant("a b c\na b c\na b c\na b c\na b c\na b c", [1, 2, 3, 4, 5], 0.2)
 
 
 def test_counts_by_collection():

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import byte_bpe, common, language_id, line_dedup, minhash_dedup, mixing
 
+#: A document is a remnant when it keeps no more of its words: one less the similarity of near copies.
+LEAST_KEPT = 0.2
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go; a null lang is filled with the prediction."""
@@ -24,17 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length that match an earlier line are cut; documents that lose their last word by it go."""
-    return line_dedup.without_later_lines(docs)
+    """Lines of any length that match an earlier line are cut; documents that keep a fifth of their words or less go.
 
+    Such remnants are what is left of near copies, whose other lines earlier documents have:
+    by the remnants alone the next stage could not tell that they are copies.
+    """
+    return line_dedup.without_later_lines(docs, least=LEAST_KEPT)
 
-def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more.
 
-    The texts that documents came in with are linked, too: the line stage leaves copies only
-    what they do not share with the first, by which alone no one could tell that they are copies.
-    """
-    return minhash_dedup.keep_first(docs, before=common.documents(spark, sf_dir))
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
+    return minhash_dedup.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

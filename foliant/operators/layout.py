@@ -151,9 +151,9 @@ def line_text(spans: DataFrame) -> DataFrame:
 
 
 def page_text(lines: DataFrame) -> DataFrame:
-    """Lines of a page joined by line ends, pages of a document likewise."""
-    by_page = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return by_page
+    """Lines of a page joined by line ends, and how many they are."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return lines.groupBy("doc_id", "page").agg(text.alias("text"), F.count("*").alias("n_lines"))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def stream_lines(spark, sf_dir):
 )
 def page_text(spark, sf_dir):
     lines = layout.line_text(layout.native_lines(word_spans(spark, sf_dir)))
-    n = lines.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
-    return layout.page_text(lines).join(n, ["doc_id", "page"]).select("doc_id", "page", F.md5("text").alias("text_md5"), "n_lines")
+    return layout.page_text(lines).select("doc_id", "page", F.md5("text").alias("text_md5"), "n_lines")
 
 
 @query(

@@ -47,17 +47,19 @@ from foliant.llm.common import LOWER_AZ, WS_CHARS, WS_CLASS, as_long, documents,
 SKETCH_BITS = 22
 #: Counters are sent in a part for each shuffle partition, as a power of two in these bounds.
 PARTS = (16, 1024)
+#: Counts above this are as good as it.
+MOST_COUNT = (1 << 32) - 1
 #: Tokens in more lines are joined with a second one; keys in more are cut into slices of so many.
 HOT = 1 << 16
 SLICE = 1 << 20
 #: Candidates of a line, earliest first, that are verified by each turn; the last turn takes all.
 TURNS = (8, None)
 #: Postings that a task holds before it sends them, those of a packed row, and those meant for a task that joins.
-HELD = 1 << 20
+HELD = 1 << 18
 PACKED = 1 << 11
 MET = 300_000
 #: Pairs looked at together.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Bits of the filters that tell the lines and keys of a later turn.
 FILTER_BITS = 22
 #: Similarity as a ratio of whole numbers.
@@ -97,7 +99,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
             starts, ends, _ = word_spans(data, off)
             held.append(_counter(word_hashes(data, starts, ends)))
             n_held += len(starts)
-            if n_held > size:
+            if n_held > size // 4:
                 total += np.bincount(np.concatenate(held), minlength=size)
                 held, n_held = [], 0
         if held:
@@ -113,12 +115,12 @@ def token_counts(docs: DataFrame) -> np.ndarray:
             for k, at, n in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 totals.setdefault(k, np.zeros(part, np.int64))[unpack(at, np.int32)] += unpack(n, np.int64)
         for k, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""]), pa.array([pack(total)])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""]), pa.array([pack(np.minimum(total, MOST_COUNT).astype(np.uint32))])], names)
 
     schema = "part int, at binary, n binary"
-    out = np.zeros(size, np.int64)
+    out = np.zeros(size, np.uint32)
     for row in docs.select("text").mapInArrow(run, schema).repartition(parts, "part").mapInArrow(add, schema).select("part", "n").collect():  # rows of fixed size
-        out[row["part"] * part : (row["part"] + 1) * part] = unpack(bytes(row["n"]), np.int64)
+        out[row["part"] * part : (row["part"] + 1) * part] = unpack(bytes(row["n"]), np.uint32)
     return out
 
 
@@ -239,7 +241,7 @@ SENT = "bucket int, gone boolean, posts binary"
 
 def postings(docs: DataFrame, counts: np.ndarray, buckets: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
     """Packed postings by bucket of their keys, and packed lines that are gone as an earlier one of the task equals them; ``only`` is a filter of keys."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), only))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, only))
 
     def send(held: list[tuple[dict, dict]]) -> Iterator[pa.RecordBatch]:
         base = np.cumsum([0, *[len(x["n"]) for x, _ in held]])

@@ -11,6 +11,10 @@ until it meets the right chunk's, so the result never depends on the cuts. Piece
 encoded on their own by merge ranks, by the task of their chunk; the task that stitches
 takes the ids of the pieces that stand, and encodes only those that no chunk has.
 
+Between the two goes no matched text and no boundary: ids decode to the text they were made of, and
+the characters of a piece's ids tell where it ends. Ids and their number in each piece are
+sent as bytes of the least width that holds them.
+
 Texts of one chunk are encoded where they are read; only longer ones are dealt out by chunk
 and brought together by document (a document is one row of the input, so that is bounded).
 All steps are linear in a text's length.
@@ -29,6 +33,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -43,6 +48,8 @@ CHUNK = 16_384
 OVERLAP = 512
 #: Pieces whose ids a worker remembers.
 MEMORY = 400_000
+#: The bytes that go on with a character of UTF-8.
+CONTINUED = bytes(range(0x80, 0xC0))
 
 
 class Tokenizer:
@@ -59,6 +66,9 @@ class Tokenizer:
         self.findall = regex.compile(pattern).findall
         self.match = regex.compile(pattern).search
         self.raw = {rank: token for token, rank in ranks.items()}
+        self.chars = np.zeros(max(ranks.values(), default=0) + 1, np.int64)  # characters that begin in each token
+        for token, rank in ranks.items():
+            self.chars[rank] = len(token.translate(None, CONTINUED))
         # the merges themselves; the pattern takes any piece whole, as pieces come pre-tokenised
         self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, tuple[int, ...]] = {}
@@ -94,6 +104,17 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _TOKENIZERS[path, pattern]
 
 
+def pack(numbers: list[int]) -> bytes:
+    """Whole numbers from 0 to 2^32 - 1 in 1, 2 or 4 bytes each, after a byte that tells which."""
+    a = np.array(numbers, np.uint32)
+    width = np.min_scalar_type(a.max(initial=0)).itemsize
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
 def boundaries(t: Tokenizer, text: str, at: int = 0) -> list[int]:
     """Where the matches of ``text`` from ``at`` on end."""
     return [m.end() for m in t.find(text, at)]
@@ -186,21 +207,28 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chun
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
         for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
-            ends, counts, ids = [], [], []
-            for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts, ids, rest = [], [], []
+            for text in batch.column("text").to_pylist():
                 own = boundaries(t, text)
                 of = [t.piece(text[a:b]) for a, b in zip([0, *own], own, strict=False)]
-                ends.append([start + e for e in own])
-                counts.append([len(x) for x in of])
-                ids.append([i for x in of for i in x])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.list_(pa.int32())) for x in (ends, counts, ids)]], ["row", "doc_id", "start", "text", "ends", "counts", "ids"])
+                counts.append(pack([len(x) for x in of]))
+                ids.append(pack([i for x in of for i in x]))
+                rest.append(text[own[-1] if own else 0 :])
+            cols = [*[batch.column(c) for c in ("row", "doc_id", "start")], pa.array(counts, pa.binary()), pa.array(ids, pa.binary()), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "start", "counts", "ids", "rest"])
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         t = tokenizer(path, pattern)
         rows = rows.sort_values("start")
-        starts, texts = rows["start"].tolist(), rows["text"].tolist()
+        starts, texts, ends, counts, ids = rows["start"].tolist(), [], [], [], []
+        for start, n, tokens, rest in zip(starts, map(unpack, rows["counts"]), map(unpack, rows["ids"]), rows["rest"], strict=True):
+            at = np.concatenate([[start], start + np.cumsum(t.chars[tokens])])
+            ends.append(at[np.cumsum(n, dtype=np.int64)].tolist())
+            counts.append(n.tolist())
+            ids.append(tokens.tolist())
+            texts.append(t.decode(ids[-1]).decode() + rest)
         whole = "".join(x[: b - a] for a, b, x in zip(starts, starts[1:], texts, strict=False)) + texts[-1]
-        ids = assemble(t, whole, starts, *[[x.tolist() for x in rows[c]] for c in ("ends", "counts", "ids")])
+        ids = assemble(t, whole, starts, ends, counts, ids)
         doc_id = rows["doc_id"].iloc[0]
         return _rows([None if pd.isna(doc_id) else int(doc_id)], [ids], t, digests).to_pandas()
 
@@ -208,7 +236,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chun
     step = chunk - overlap
     long = docs.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
     long = long.select("row", "doc_id", "text").mapInArrow(deal, "row long, doc_id long, start int, text string")
-    long = long.repartition("row", "start").mapInArrow(chunks, "row long, doc_id long, start int, text string, ends array<int>, counts array<int>, ids array<int>")
+    long = long.repartition("row", "start").mapInArrow(chunks, "row long, doc_id long, start int, counts binary, ids binary, rest string")
     return brief.unionByName(long.groupBy("row").applyInPandas(join, schema))
 
 

@@ -67,6 +67,34 @@ def test_long_texts_and_digests(spark):
             assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_packed_numbers():
+    for numbers, width in (([], 1), ([0], 1), ([255, 0], 1), ([256, 3], 2), ([65_535], 2), ([65_536, 1], 4), ([2**32 - 1], 4)):
+        packed = byte_bpe.pack(numbers)
+        assert len(packed) == 1 + width * len(numbers)
+        assert byte_bpe.unpack(packed).tolist() == numbers
+
+
+def test_chunks_shuffle_little(spark):
+    """What goes to the tasks of chunks and back is less than three times the texts."""
+    import public_tokenizers
+
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuvwzé"), rng.integers(1, 11))) for _ in range(5000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 20_000)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = written()
+    assert byte_bpe.encode(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True).count() == 4
+    moved = sum(n for k, n in written().items() if k not in before)
+    assert 0 < moved < 3 * sum(len(x.encode()) for x in texts)
+
+
 # ---------------------------------------------------------------- media
 
 

@@ -509,22 +509,20 @@ def without_later_lines(docs: DataFrame, num: int = NUM, den: int = DEN, least:
 
     Columns are those of ``docs``; n_chars, if there, is that of the new text.
     """
-    columns = docs.columns
-    text = columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts, good = [], []
-                for t, gone in zip(part.column(text).to_pylist(), part.column(len(columns)).to_pylist(), strict=True):
-                    cut, _, lost = (None, 0, 0) if t is None else _cut(t, gone)
-                    texts.append(t if not lost else cut.decode())
-                    good.append(not lost or not remnant(t, gone, least))
-                cols = [pa.array(texts, c.type) if i == text else c for i, c in enumerate(part.columns[: len(columns)])]
-                yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(good))
-
-    out = _apply(docs, num, den, fresh(columns, "_gone")).mapInArrow(run, docs.schema)
+    columns, name = docs.columns, fresh(docs.columns, "_gone")
+    cut = fresh([*columns, name], "_cut")
+
+    def run(text: str | None, gone: list[int] | None) -> tuple[str, bool] | None:
+        if text is None:
+            return None
+        left, _, lost = _cut(text, gone)
+        return (left.decode(), not remnant(text, gone, least)) if lost else None
+
+    # plain rows, not Arrow: a hundred documents at a time go to Python, whenever the result is read, and only those with lines that go
+    cut_text = F.udf(run, "text string, good boolean", useArrow=False).asNondeterministic()
+    out = _apply(docs, num, den, name).withColumn(cut, cut_text(F.when(F.col(name).isNotNull(), F.col("text")), name))
+    out = out.where(F.coalesce(F.col(cut)["good"], F.lit(True)))
+    out = out.withColumn("text", F.coalesce(F.col(cut)["text"], F.col("text")).cast(docs.schema["text"].dataType)).drop(cut, name)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

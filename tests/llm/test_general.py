@@ -373,6 +373,14 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in minhash_dedup.keep_first(whole, before=docs).collect()) == list(range(n))
 
 
+def test_cut_documents_go_to_python_in_small_pieces(odd):
+    """The result is read when small_batches is over: an Arrow batch would hold 10,000 whole documents."""
+    out, text = line_dedup.without_later_lines(odd), odd.first().text
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, text), (1, text), (1, text), (2, "other words"), (3, "")]
+
+
 def test_remnants():
     text = "One two three\nfour five six seven\neight\none TWO three\n\neight"
     assert not line_dedup.remnant(text, None, 0.2) and not line_dedup.remnant(text, [3, 5], 0.2)

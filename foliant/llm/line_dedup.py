@@ -21,7 +21,8 @@ Where its postings meet, a line is paired with the earliest lines that pass the
 positional and parity filters (128 parity bits bound the difference of two sets). Pairs are
 verified on whole token sets. Lines that none of these matches and that have further
 candidates come again with the next ones (``TURNS``), the last time with all, so groups of
-near copies do not form all pairs, and nothing is left out.
+near copies do not form all pairs, and nothing is left out. A turn keeps the postings of the
+keys that have such lines for the next one, so texts are cut into words once.
 
 Defined results: null text has 0 lines, stays null, and hashes as the empty string; empty
 lines and lines without words stay; repeated documents lose the lines that the first
@@ -39,10 +40,10 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER_AZ, WS_CHARS, WS_CLASS, as_long, documents, fresh, mix, runs_of, small_batches, stored, text_batches, word_hashes, word_spans
+from foliant.llm.common import LOWER_AZ, as_long, documents, fresh, mix, runs_of, small_batches, stored, text_batches, word_hashes, word_spans
 
 SKETCH_BITS = 22
 #: Counters are sent in a part for each shuffle partition, as a power of two in these bounds.
@@ -239,9 +240,21 @@ def first_of_equal(lines: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray
 SENT = "bucket int, gone boolean, posts binary"
 
 
-def postings(docs: DataFrame, counts: np.ndarray, buckets: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
-    """Packed postings by bucket of their keys, and packed lines that are gone as an earlier one of the task equals them; ``only`` is a filter of keys."""
-    shared = docs.sparkSession.sparkContext.broadcast((counts, only))
+def _rows(cols: dict[str, np.ndarray], buckets: int) -> Iterator[tuple[int, bool, bytes]]:
+    """Postings as packed rows (bucket, gone, posts), in order of buckets and keys."""
+    key = cols["key"]
+    bucket = (mix(key.astype(np.uint64)) % _U(buckets)).astype(np.int64)
+    by = np.argsort(bucket << 32 | key.astype(np.int64))
+    at, n = runs_of(bucket[by])
+    for a, k in zip(at, n, strict=True):
+        for b in range(a, a + k, PACKED):
+            part = by[b : min(b + PACKED, a + k)]
+            yield int(bucket[by[a]]), False, pack_postings({c: cols[c][part] for c in POSTING})
+
+
+def postings(docs: DataFrame, counts: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
+    """Packed postings by bucket of their keys, and packed lines that are gone as an earlier one of the task equals them."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def send(held: list[tuple[dict, dict]]) -> Iterator[pa.RecordBatch]:
         base = np.cumsum([0, *[len(x["n"]) for x, _ in held]])
@@ -250,30 +263,19 @@ def postings(docs: DataFrame, counts: np.ndarray, buckets: int, num: int, den: i
         first, gone = first_of_equal(lines)
         posts = {c: v[first[posts["line"]]] for c, v in posts.items()}
         posts = _sliced(posts, lines)
-        if only is not None:
-            mine = shared.value[1][(posts["key"] >> _U(64 - FILTER_BITS)).astype(np.int64)]
-            posts = {c: v[mine] for c, v in posts.items()}
         out = {c: lines[c][posts["line"]] for c in ("n", "p1", "p2", "s", "d", "l")} | {"pos": posts["pos"], "key": (posts["key"] >> _U(32)).astype(np.uint32)}
-        bucket = (mix(posts["key"] >> _U(32)) % _U(buckets)).astype(np.int64)
-        rows: list[tuple[int, bool, bytes]] = []
-        by = np.argsort(bucket << 32 | out["key"].astype(np.int64))
-        at, n = runs_of(bucket[by])
-        for a, k in zip(at, n, strict=True):
-            for b in range(a, a + k, PACKED):
-                part = by[b : min(b + PACKED, a + k)]
-                rows.append((int(bucket[by[a]]), False, pack_postings({c: out[c][part] for c in POSTING})))
-        if only is None:
-            lost = np.flatnonzero(gone)
-            for b in range(0, len(lost), PACKED):
-                part = lost[b : b + PACKED]
-                zero = np.zeros(len(part), np.int64)
-                rows.append((int(mix(np.array([lines["d"][part[0]]]).view(np.uint64))[0] % _U(buckets)), True, pack_postings({c: zero for c in POSTING} | {"d": lines["d"][part], "l": lines["l"][part]})))
+        rows = list(_rows(out, buckets))
+        lost = np.flatnonzero(gone)
+        for b in range(0, len(lost), PACKED):
+            part = lost[b : b + PACKED]
+            zero = np.zeros(len(part), np.int64)
+            rows.append((int(mix(np.array([lines["d"][part[0]]]).view(np.uint64))[0] % _U(buckets)), True, pack_postings({c: zero for c in POSTING} | {"d": lines["d"][part], "l": lines["l"][part]})))
         for b in range(0, len(rows), 64):
             cols = zip(*rows[b : b + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "gone", "posts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[0]
+        counts = shared.value
         held, n_held = [], 0
         for part, data, off in text_batches(batches):
             held.append(_prefixes(_words(data, off), part.column("doc_id").to_numpy(zero_copy_only=False), counts, num, den, HOT, SLICE))
@@ -311,7 +313,7 @@ def _possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray], num: int, den:
 
 
 def pairs_of(posts: dict[str, np.ndarray], low: int, high: int | None, num: int, den: int, only: np.ndarray | None = None, most: int = PAIRS) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Of all postings of some keys: (0, lines that are gone as an earlier one equals them), (1, pairs), (2, lines with further candidates and the key).
+    """Of all postings of some keys: (0, lines that are gone as an earlier one equals them), (1, pairs), (2, lines with further candidates and the key), (3, all postings of such keys).
 
     A line's candidates of one key are numbered from the earliest; those from ``low`` to
     before ``high`` come as pairs. ``only`` is a filter of lines.
@@ -338,6 +340,7 @@ def pairs_of(posts: dict[str, np.ndarray], low: int, high: int | None, num: int,
     else:
         ys = np.flatnonzero(before > 0)
     ends = np.cumsum(before[ys])
+    again = np.zeros(len(n), bool)
     a = 0
     while a < len(ys):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
@@ -356,40 +359,59 @@ def pairs_of(posts: dict[str, np.ndarray], low: int, high: int | None, num: int,
             yield 1, {"xd": v["d"][x[take]], "xl": v["l"][x[take]], "d": v["d"][y[take]], "l": v["l"][y[take]]}
         more = y[first[k > high]] if high is not None and len(first) else y[:0]
         if len(more):
-            yield 2, {"d": v["d"][more], "l": v["l"][more], "xl": (v["key"][more] >> np.uint32(32 - FILTER_BITS)).astype(np.int32)}
+            yield 2, {"d": v["d"][more], "l": v["l"][more], "xl": _key_bits(v["key"][more]).astype(np.int32)}
+            again[np.searchsorted(at, more, "right") - 1] = True
         a = b
+    if again.any():
+        kept = np.repeat(again, n)
+        yield 3, {c: x[kept] for c, x in v.items()}
+
+
+def _key_bits(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint32(32 - FILTER_BITS)).astype(np.int64)
 
 
 def _line_bits(d: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix(d.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + line.astype(np.uint64)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
 
-FOUND = "kind int, d long, l int, xd long, xl int"
+FOUND = "kind int, d long, l int, xd long, xl int, posts binary"
 
 
-def candidates(sent: DataFrame, tasks: int, low: int, high: int | None, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
-    """What ``pairs_of`` finds in each bucket: kind 0, 1 or 2 with the later line (d, l) and the earlier (xd, xl)."""
+def candidates(sent: DataFrame, tasks: int, buckets: int, low: int, high: int | None, num: int, den: int, only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """What ``pairs_of`` finds in each bucket: kind 0, 1 or 2 with the later line (d, l) and the earlier (xd, xl); kind 3 with packed postings and their bucket as l. ``only`` are filters of keys and lines."""
     shared = sent.sparkSession.sparkContext.broadcast(only)
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lines = shared.value or (None, None)
         held: list[dict[str, np.ndarray]] = []
 
         def out(kind: int, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
             k = len(cols["d"])
             zero = np.zeros(k, np.int64)
             arrays = [np.full(k, kind, np.int32), cols["d"], cols["l"].astype(np.int32), cols.get("xd", zero), cols.get("xl", zero).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], [f.split()[0] for f in FOUND.split(", ")])
+            return pa.RecordBatch.from_arrays([*[pa.array(x) for x in arrays], pa.nulls(k, pa.binary())], names)
 
         for batch in batches:
             for gone, posts in zip(batch.column("gone").to_pylist(), batch.column("posts"), strict=True):
                 x = unpack_postings(posts.as_py())
                 if gone:
                     yield out(0, x)
-                else:
-                    held.append(x)
+                    continue
+                if keys is not None:
+                    mine = keys[_key_bits(x["key"])]
+                    x = {c: v[mine] for c, v in x.items()}
+                held.append(x)
         if held:
-            for kind, cols in pairs_of({c: np.concatenate([x[c] for x in held]) for c in POSTING}, low, high, num, den, shared.value, PAIRS):
-                yield out(kind, cols)
+            whole = {c: np.concatenate([x[c] for x in held]) for c in POSTING}
+            held.clear()
+            for kind, cols in pairs_of(whole, low, high, num, den, lines, PAIRS):
+                if kind < 3:
+                    yield out(kind, cols)
+                    continue
+                for bucket, _, posts in _rows(cols, buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((3, pa.int32()), (0, pa.int64()), (bucket, pa.int32()), (0, pa.int64()), (0, pa.int32()), (posts, pa.binary()))], names)
 
     return sent.repartition(tasks, "bucket").mapInArrow(run, FOUND)
 
@@ -401,10 +423,8 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
     return out
 
 
-def _tokens(line: Column) -> Column:
-    """The distinct words of a line that has one."""
-    lower = F.translate(F.btrim(line, F.lit(WS_CHARS)), ascii_uppercase, ascii_lowercase)
-    return F.array_distinct(F.split(lower, WS_CLASS))
+def _words_of(line: bytes) -> frozenset[bytes]:
+    return frozenset(line.translate(_LOWER).split())
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -417,9 +437,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     texts = stored(texts)
     x = texts.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("t").alias("tx"))
     y = texts.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("t").alias("ty"))
-    both = pairs.join(y, ["yd", "yl"]).join(x, ["xd", "xl"]).withColumns({"sx": _tokens(F.col("tx")), "sy": _tokens(F.col("ty"))})
-    both = both.select("xd", "xl", "yd", "yl", F.size(F.array_intersect("sx", "sy")).alias("common"), (F.size("sx") + F.size("sy")).alias("all"))
-    return both.where(F.col("common") * (den + num) >= F.col("all") * num).select("xd", "xl", "yd", "yl")
+    both = pairs.join(y, ["yd", "yl"]).join(x, ["xd", "xl"]).select("xd", "xl", "yd", "yl", "tx", "ty")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sx = None, frozenset()
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            good = []
+            for tx, ty in zip(*[batch.column(c).cast(pa.binary()).to_pylist() for c in ("tx", "ty")], strict=True):
+                if tx != last:  # pairs of a line stand together
+                    last, sx = tx, _words_of(tx)
+                sy = _words_of(ty)
+                good.append(len(sx & sy) * (den + num) >= (len(sx) + len(sy)) * num)
+            yield batch.select(["xd", "xl", "yd", "yl"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "xd long, xl int, yd long, yl int")
 
 
 def gone_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -430,9 +461,9 @@ def gone_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         counts = token_counts(docs)
         # a line sends about a fifth of its tokens, each of which was counted
         tasks = max(8, -(-int(counts.sum()) // (5 * MET)))
-        gone, low, keys, lines = None, 0, None, None
+        gone, low, only, sent = None, 0, None, postings(docs, counts, 4 * tasks, num, den)
         for high in TURNS:
-            found = stored(candidates(postings(docs, counts, 4 * tasks, num, den, keys), tasks, low, high, num, den, lines))
+            found = stored(candidates(sent, tasks, 4 * tasks, low, high, num, den, only))
             equal = found.where("kind = 0").select("d", "l").distinct()
             pairs = found.where("kind = 1").select("xd", "xl", F.col("d").alias("yd"), F.col("l").alias("yl")).distinct()
             if low == 0:  # those that are gone anyway need no look
@@ -447,7 +478,8 @@ def gone_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
                 for b in batches:
                     yield pa.RecordBatch.from_arrays([pa.array(_line_bits(b.column("d").to_numpy(), b.column("l").to_numpy()))], ["bit"])
 
-            keys, lines, low = _bitmap(still.select("xl")), _bitmap(still.mapInArrow(bits, "bit long")), high
+            only, low = (_bitmap(still.select("xl")), _bitmap(still.mapInArrow(bits, "bit long"))), high
+            sent = found.where("kind = 3").select(F.col("l").alias("bucket"), F.lit(False).alias("gone"), "posts")
     raise AssertionError("the last turn takes all candidates")
 
 
@@ -466,24 +498,26 @@ def _cut(text: str, gone: list[int] | None) -> tuple[bytes, int, int]:
     return b"\n".join(left), len(lines), len(lines) - len(left)
 
 
-REPORT = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
-
-
 def line_report(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per document: lines, lines removed, and the hash of the text that is left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    cut, n, m = (b"", 0, 0) if text is None else _cut(text, gone)
-                    rows.append((n, m, hashlib.sha256(cut).hexdigest()))
-                n, m, sha = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sha)], [f.split()[0] for f in REPORT.split(", ")])
-
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den, "gone").mapInArrow(run, REPORT)
+    def report(text: str | None, gone: list[int] | None) -> tuple[int, int, str] | None:
+        if text is None:
+            return None
+        cut, n, m = _cut(text, gone)
+        return n, m, hashlib.sha256(cut).hexdigest()
+
+    docs = _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), num, den, "gone")
+    cut = F.udf(report, "n long, m long, sha string", useArrow=False).asNondeterministic()
+    text = F.coalesce("text", F.lit(""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    docs = docs.select("doc_id", "text", cut(F.when(F.col("gone").isNotNull(), F.col("text")), "gone").alias("cut"))
+    return docs.select(
+        "doc_id",
+        F.coalesce("cut.n", F.when(F.col("text").isNull(), 0).otherwise(breaks).cast("long")).alias("n_lines"),
+        F.coalesce("cut.m", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("cut.sha", F.sha2(text, 256)).alias("kept_sha256"),
+    )
 
 
 def remnant(text: str, gone: list[int] | None, least: float) -> bool:

@@ -381,6 +381,22 @@ def test_cut_documents_go_to_python_in_small_pieces(odd):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, text), (1, text), (1, text), (2, "other words"), (3, "")]
 
 
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Later turns read the postings that the turn before kept."""
+    monkeypatch.setattr(line_dedup, "TURNS", (1, 2, None))
+    calls, plain = [], line_dedup.postings
+    monkeypatch.setattr(line_dedup, "postings", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    words, at = [f"x{i}" for i in range(5000)], np.arange(5001) * 8
+    h = common.word_hashes(np.frombuffer(b"".join(w.ljust(8).encode() for w in words), np.uint8), at[:-1], at[:-1] + [len(w) for w in words])
+    same = [w for w, x in zip(words, h, strict=True) if x & np.uint64(127) == h[0] & np.uint64(127)]  # an even number of them leaves the parity bits as they are
+    lines = [[*[f"w{k}" for k in range(16)], *same[4 * i : 4 * i + 4]] for i in range(6)]  # candidates of each other, by 16 of 24
+    lines.append([*lines[3][:19], "z"])  # matches its fourth candidate, by 19 of 21
+    lines += [[w] * 50 for w in same[:24]]  # these words come last in a line's order
+    gone = line_dedup.gone_lines(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string"))
+    assert [(r.d, r.l) for r in gone.collect()] == [(6, 0)]
+    assert len(calls) == 1
+
+
 def test_remnants():
     text = "One two three\nfour five six seven\neight\none TWO three\n\neight"
     assert not line_dedup.remnant(text, None, 0.2) and not line_dedup.remnant(text, [3, 5], 0.2)

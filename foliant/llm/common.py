@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.lineage import materialise, shared_folder
+
 #: The white space that separates words in the contracts of this package.
 WS_CHARS = " \t\n\x0b\f\r"
 WS_CLASS = r"[\x20\x09-\x0D]+"
@@ -216,26 +218,6 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], rows: int
 # ---------------------------------------------------------------- lineage
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it is unset, one in /tmp on a single machine, and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "/tmp/checkpoints"
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder of the session."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Like ``materialise``, as a Parquet table in the shared folder: columns are encoded, so large results take far less room."""
     return stored_at(df)[0]

@@ -93,7 +93,7 @@ _STYLES = "s AS (SELECT c_custkey AS style_id, CASE WHEN c_custkey > 1 THEN c_cu
 )
 def style_inheritance(spark, sf_dir):
     key = F.col("c_custkey")
-    styles = table(spark, sf_dir, "customer").select(key.alias("style_id"), F.when(key > 1, F.floor(key / 2)).alias("parent"), F.when(key % 5 == 0, key % 2 == 0).alias("bold"))
+    styles = table(spark, sf_dir, "customer").select(key.alias("style_id"), F.when(key > 1, F.floor(key / 2)).alias("parent"), F.when(key % 5 == 0, key % 2 == 0).alias("bold")).distinct()
     return model.inherited(styles, "bold").select("style_id", F.coalesce(F.col("bold").cast("string"), F.lit("unset")).alias("bold"))
 
 

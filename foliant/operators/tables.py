@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from foliant.functions.geometry import area, containment, iou
 from foliant.operators.folds import fold
-from foliant.operators.layout import upper_median
 
 #: Tolerances in points and thresholds of filters. Fixed values.
 SNAP = 3.0
@@ -241,18 +240,37 @@ def split_rows(rows: DataFrame, spans: DataFrame) -> DataFrame:
     apart than 0.6 median sizes, and 2 points at least, are rows of their own, with borders
     midway between their means. Rows of mostly rotated text are not split.
     """
-    key = ["doc_id", "page", "table_id", "row"]
+    page, box = ["doc_id", "page"], ["x_min", "y_min", "x_max", "y_max"]
     rotation = F.abs(F.col("rotation")) > 45 if "rotation" in spans.columns else F.lit(False)
-    marks = spans.where(F.trim("text") != "").select("doc_id", "page", (F.col("x") + F.col("width") / 2).alias("_cx"), F.col("y").alias("_y"), "font_size", rotation.alias("_turned"))
-    inside = F.col("_cx").between(F.col("x_min"), F.col("x_max")) & F.col("_y").between(F.col("y_min"), F.col("y_max"))
-    hits = rows.join(marks, ["doc_id", "page"]).where(inside)
-    sizes = hits.groupBy(*key).agg(upper_median(F.collect_list("font_size")).alias("_size"), F.avg(F.col("_turned").cast("int")).alias("_share"))
-    hits = hits.join(sizes.where("_share <= 0.5"), key)
-    down = Window.partitionBy(*key).orderBy(F.desc("_y"))
-    apart = F.lag("_y").over(down) - F.col("_y") > F.greatest(0.6 * F.col("_size"), F.lit(2.0))
-    groups = hits.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("sub", F.sum("_new").over(down.rangeBetween(Window.unboundedPreceding, 0)).cast("int"))
-    groups = groups.groupBy(*key, "sub").agg(F.avg("_y").alias("_mean"))
-    place = Window.partitionBy(*key).orderBy("sub")
-    groups = groups.withColumns({"_up": (F.lag("_mean").over(place) + F.col("_mean")) / 2, "_low": (F.lead("_mean").over(place) + F.col("_mean")) / 2})
-    out = rows.join(groups.drop("_mean"), key, "left")
-    return out.select(*key, F.coalesce("sub", F.lit(0)).alias("sub"), "x_min", F.coalesce("_low", "y_min").alias("y_min"), "x_max", F.coalesce("_up", "y_max").alias("y_max"))
+    marks = spans.where(F.trim("text") != "").select(*page, (F.col("x") + F.col("width") / 2).alias("_cx"), F.col("y").cast("double").alias("_y"), F.col("font_size").cast("double").alias("_size"), rotation.alias("_turned")).where("_cx is not null and _y is not null")
+    boxes = rows.select(*page, "table_id", "row", *[F.col(c).cast("double").alias(c) for c in box])
+    both = boxes.unionByName(marks, allowMissingColumns=True).withColumn("_mark", F.col("_cx").isNotNull())
+
+    def split(items: list) -> list[tuple]:
+        # the page's rows come before its marks, and these from top to bottom
+        at = next((i for i, x in enumerate(items) if x["_mark"]), len(items))
+        marks = [(x["_cx"], x["_y"], x["_size"], x["_turned"]) for x in items[at:]]
+        out = []
+        for r in items[:at]:
+            x1, y1, x2, y2 = (r[c] for c in box)
+            hits = [m for m in marks if x1 <= m[0] <= x2 and y1 <= m[1] <= y2]
+            groups: list[list[float]] = []
+            turned, sizes = [m[3] for m in hits if m[3] is not None], sorted(m[2] for m in hits if m[2] is not None)
+            if turned and 2 * sum(turned) <= len(turned):
+                least = max(0.6 * sizes[len(sizes) // 2], 2.0) if sizes else 2.0
+                for _, y, _, _ in hits:
+                    if groups and groups[-1][-1] - y <= least:
+                        groups[-1].append(y)
+                    else:
+                        groups.append([y])
+            means = [sum(g) / len(g) for g in groups] or [0.0]
+            for i, mean in enumerate(means):
+                top = (means[i - 1] + mean) / 2 if i else y2
+                bottom = (means[i + 1] + mean) / 2 if i + 1 < len(means) else y1
+                out.append((r["table_id"], r["row"], i, x1, bottom, x2, top))
+        return out
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("table_id", "row")}
+    out = f"table_id {kinds['table_id']}, row {kinds['row']}, sub int, x_min double, y_min double, x_max double, y_max double"
+    both = both.withColumn("_down", -F.col("_y"))
+    return fold(both, page, ["_mark", "_down"], ["table_id", "row", *box, "_cx", "_y", "_size", "_turned"], split, out)

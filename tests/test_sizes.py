@@ -98,3 +98,10 @@ def test_only_texts_and_items_are_shuffled(spark, sf, name):
 def test_records_with_two_headers(spark):
     cells = spark.createDataFrame([(1, 0, 0, "a", True), (1, 1, 0, "b", True), (1, 2, 0, "v", False), (1, 2, 1, "w", False), (2, 0, 0, "v", False)], "doc_id int, row int, col int, text string, is_header boolean")
     assert [tuple(r) for r in emit.records(cells, ["a", "b"]).collect()] == [(1, 2, "v", "v")]
+
+
+def test_scripts_without_spaces_at_the_ends_of_their_ranges(spark):
+    points = sorted({p + d for r in layout._NON_SPACING for p in r for d in (-1, 0, 1)} | {0x41, 0xE9, 0x1F600})
+    rows = spark.createDataFrame([(p, chr(p)) for p in points] + [(0, "")], "p int, c string")
+    found = {r.p: r.n for r in rows.select("p", layout.non_spacing(F.col("c")).alias("n")).collect()}
+    assert found == {p: any(a <= p <= b for a, b in layout._NON_SPACING) for p in [0, *points]}

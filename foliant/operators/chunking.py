@@ -4,12 +4,11 @@ Input: blocks (doc_id, ord, kind, level, text, page). Output: one row for each c
 doc_id, chunk_index (from 0), text and what its strategy knows. Strategies whose boundaries do
 not depend on the chunk so far are window expressions. The greedy ones cannot be windows
 ("start anew when full" depends on where the last chunk began): they fold each document's
-array of block lengths, in Arrow batches, to chunk numbers; texts stay in the JVM.
+array of block lengths, a hundred documents at a time, to chunk numbers; texts stay in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +113,16 @@ def _pack(lengths: list[int], target: int) -> tuple[list[int], list[bool]]:
 
 
 def _folded(blocks: DataFrame, fold, extra: list[str]) -> DataFrame:
-    """Adds the chunk number of each block: arrays of lengths go to ``fold`` a document at a time, in Arrow batches."""
+    """Adds the chunk number of each block: arrays of lengths go to ``fold`` a document at a time, as plain rows.
 
-    @F.pandas_udf("array<struct<chunk:int,over:boolean>>")
-    def run(items: pd.Series) -> pd.Series:
-        return items.map(lambda rows: [{"chunk": c, "over": o} for c, o in zip(*fold(rows), strict=True)])
+    Plain rows go to a worker by the hundred; an Arrow batch would hold 10,000 documents.
+    """
+
+    @F.udf("array<struct<chunk:int,over:boolean>>", useArrow=False)
+    def run(rows: list) -> list[tuple[int, bool]]:
+        return list(zip(*fold(rows), strict=True))
 
-    item = F.array_sort(F.collect_list(F.struct("ord", *extra, "text", "page")))
+    item = F.sort_array(F.collect_list(F.struct("ord", *extra, "text", "page")))
     docs = blocks.groupBy("doc_id").agg(item.alias("items"))
     docs = docs.withColumn("folds", run(F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in ["ord", *extra]]))))
     return docs.select("doc_id", F.explode(F.arrays_zip("items", "folds")).alias("z")).select("doc_id", "z.items.*", "z.folds.*")

@@ -26,9 +26,9 @@ def tables_tsv(cells: DataFrame) -> DataFrame:
 
 def records(cells: DataFrame, labels: list[str]) -> DataFrame:
     """Data rows with the header's labels as columns. Labels are given, so the plan needs no extra pass."""
-    head = cells.where("is_header").select("doc_id", "col", F.col("text").alias("label"))
-    body = cells.where("not is_header").join(head, ["doc_id", "col"])
-    return body.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("label") == x, F.col("text"))).alias(x) for x in labels])
+    w = Window.partitionBy("doc_id", "col")
+    body = cells.withColumn("_labels", F.collect_set(F.when(F.col("is_header"), F.col("text"))).over(w)).where(~F.col("is_header") & (F.size("_labels") > 0))
+    return body.groupBy("doc_id", "row").agg(*[F.max(F.when(F.array_contains("_labels", x), F.col("text"))).alias(x) for x in labels])
 
 
 def block_line(kind: Column, level: Column, text: Column) -> Column:
